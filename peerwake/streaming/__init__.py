@@ -1,0 +1 @@
+"""Reserved. The study model is batch only: nothing in it consumes an unbounded stream."""
