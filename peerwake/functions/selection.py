@@ -7,7 +7,7 @@ the bin of every wanted rank, and only the rows of those bins are ranked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exprs import null_safe_on
@@ -18,39 +18,59 @@ BINS = 1 << 16
 def percentiles(df: DataFrame, keys: list[str], value: str, named: dict[str, float],
                 group_limit: int = 1_000_000) -> DataFrame:
     """One row per key with linearly interpolated quantiles of the non-null values."""
+    tagged = _sized(df, keys, value)
+    probs = F.array(*[F.lit(float(p)) for p in named.values()])
+    small = (tagged.where(F.col("__n") <= group_limit).groupBy(*keys).agg(F.percentile("__x", probs).alias("__q"))
+             .select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(named)]))
+    positions = {n: F.lit(float(p)) * (F.col("__n") - 1) for n, p in named.items()}
+    large = _interpolate(_ranked_by_histogram(tagged.where(F.col("__n") > group_limit), keys, positions), keys, positions)
+    return small.unionByName(large)
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, positions: dict[str, Column],
+                     group_limit: int = 1_000_000) -> DataFrame:
+    """Values at zero-based positions that may depend on the group size ``__n``."""
+    tagged = _sized(df, keys, value)
+    order = Window.partitionBy(*keys).orderBy("__x")
+    near = [f(p) for p in positions.values() for f in (F.floor, F.ceil)]
+    small = (tagged.where(F.col("__n") <= group_limit).withColumn("__rank", (F.row_number().over(order) - 1).cast("bigint"))
+             .where(F.array_contains(F.array(*near), F.col("__rank"))).select(*keys, "__n", "__rank", "__x"))
+    large = _ranked_by_histogram(tagged.where(F.col("__n") > group_limit), keys, positions)
+    return _interpolate(small.unionByName(large), keys, positions)
+
+
+def _sized(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     rows = df.select(*keys, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
     sized = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    probs = list(named.values())
-    tagged = null_safe_on(rows, sized, keys, "inner")
-    small = (tagged.where(F.col("__n") <= group_limit).groupBy(*keys)
-             .agg(F.percentile("__x", F.array(*[F.lit(float(p)) for p in probs])).alias("__q")))
-    large = _by_histogram(tagged.where(F.col("__n") > group_limit), keys, probs)
-    both = small.unionByName(large)
-    return both.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(named)])
+    return null_safe_on(rows, sized, keys, "inner")
+
+
+def _interpolate(hits: DataFrame, keys: list[str], positions: dict[str, Column]) -> DataFrame:
+    """Weigh the two neighbours of each position; one output column per position."""
+    rank = F.col("__rank")
+
+    def share(pos):
+        return (F.when(F.floor(pos) == F.ceil(pos), F.when(rank == F.floor(pos), 1.0))
+                .when(rank == F.floor(pos), 1 - (pos - F.floor(pos))).when(rank == F.ceil(pos), pos - F.floor(pos)))
+
+    return hits.groupBy(*keys).agg(*[F.sum(F.col("__x") * share(p)).alias(n) for n, p in positions.items()])
 
 
-def _by_histogram(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def _ranked_by_histogram(rows: DataFrame, keys: list[str], positions: dict[str, Column]) -> DataFrame:
+    """(keys, __n, __rank, __x) for the ranks next to each position, without sorting a group."""
     span = F.col("__hi") - F.col("__lo")
     bin_of = F.when(span > 0, F.least(F.floor((F.col("__x") - F.col("__lo")) / span * BINS), F.lit(BINS - 1))).otherwise(0)
     binned = rows.withColumn("__bin", bin_of.cast("int"))
     hist = binned.groupBy(*keys, "__n", "__bin").agg(F.count("*").alias("__c"))
     order = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("__before", F.coalesce(F.sum("__c").over(order), F.lit(0)))
-    wanted = hist.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__i", "__p"))
-    pos = F.col("__p") * (F.col("__n") - 1)
-    wanted = wanted.withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))))
-    wanted = wanted.where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__c")))
-    bins = wanted.select(*keys, "__bin", "__before").distinct()
+    near = F.array_distinct(F.array(*[f(p).cast("bigint") for p in positions.values() for f in (F.floor, F.ceil)]))
+    inside = lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__c"))
+    bins = hist.withColumn("__ranks", F.filter(near, inside)).where(F.size("__ranks") > 0).drop("__c", "__n")
     within = Window.partitionBy(*keys, "__bin").orderBy("__x")
-    ranked = (null_safe_on(binned.select(*keys, "__bin", "__x"), bins, [*keys, "__bin"], "inner")
-              .withColumn("__rank", F.col("__before") + F.row_number().over(within) - 1))
-    hits = null_safe_on(wanted.select(*keys, "__i", "__p", "__n", "__rank"),
-                        ranked.select(*keys, "__rank", "__x"), [*keys, "__rank"], "inner")
-    frac = pos - F.floor(pos)
-    weight = F.when(F.floor(pos) == F.ceil(pos), 1.0).when(F.col("__rank") == F.floor(pos), 1 - frac).otherwise(frac)
-    solved = hits.groupBy(*keys, "__i").agg(F.sum(F.col("__x") * weight).alias("__v"))
-    listed = solved.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__l"))
-    return listed.select(*keys, F.transform("__l", lambda e: e["__v"]).alias("__q"))
+    ranked = null_safe_on(binned.select(*keys, "__n", "__bin", "__x"), bins, [*keys, "__bin"], "inner")
+    ranked = ranked.withColumn("__rank", F.col("__before") + F.row_number().over(within) - 1)
+    return ranked.where(F.array_contains("__ranks", F.col("__rank"))).select(*keys, "__n", "__rank", "__x")
 
 
 def dense_index(df: DataFrame, keys: list[str], order: str, name: str, prefix: int = 2) -> DataFrame:

@@ -27,7 +27,7 @@ OUTCOME_COLUMNS = (
 
 def study_frame(panel: DataFrame, value: str, definitions=(ECONOMIC,), eligible: str = "eligible",
                 keys: tuple[str, ...] = ()) -> DataFrame:
-    group = {ECONOMIC: F.col("subsector"), BROAD: F.lit(EVERYONE)}
+    group = {ECONOMIC: F.col("peer_group"), BROAD: F.lit(EVERYONE)}
     groups = F.array(*[F.struct(F.lit(d).alias("peer_definition"), group[d].alias("peer_group")) for d in definitions])
     return panel.select(*keys, "date", "security_id", F.col(value).alias("value"),
                         F.when(F.col(eligible), groups).alias("groups"))

@@ -46,7 +46,7 @@ def r(expr: str, digits: int = 8) -> str:
 
 
 cte("ct_vendor", """
-SELECT l_suppkey, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+SELECT l_suppkey, DATE '1995-01-02' + CAST(floor((CAST(l_shipdate AS DATE) - DATE '1995-01-02') / 14.0) AS INTEGER) * 14 AS date,
        avg(l_discount) AS d, avg(l_tax) AS t, min(l_discount) AS lo, max(l_discount) AS hi, min(l_tax) AS tx,
        sum(l_quantity) AS volume
 FROM lineitem GROUP BY 1, 2""")
@@ -83,7 +83,7 @@ FROM ct_returns""")
 def reasons(min_history: int, tiers: str) -> str:
     """Ordered exclusion labels of one parameter set over a row of grid columns."""
     return f"""concat_ws(';',
-      CASE WHEN date < DATE '1995-06-05' THEN 'before_eligibility_start_date' END,
+      CASE WHEN date < DATE '1995-05-01' THEN 'before_eligibility_start_date' END,
       CASE WHEN date > DATE '2001-10-01' THEN 'after_eligibility_end_date' END,
       CASE WHEN universe_tier NOT IN ({tiers}) THEN 'universe_tier_not_allowed' END,
       CASE WHEN exchange_or_market IN ('NATION_24', 'NATION_24 ADR') THEN 'listing_restriction' END,
@@ -91,11 +91,11 @@ def reasons(min_history: int, tiers: str) -> str:
       CASE WHEN close IS NOT NULL AND history_days < {min_history} THEN 'insufficient_history' END,
       CASE WHEN close < 101 THEN 'below_minimum_price' END,
       CASE WHEN close IS NOT NULL AND adv IS NULL THEN 'insufficient_liquidity_history' END,
-      CASE WHEN close IS NOT NULL AND adv < 2500 THEN 'insufficient_liquidity;below_minimum_liquidity' END)"""
+      CASE WHEN close IS NOT NULL AND adv < 6600 THEN 'insufficient_liquidity;below_minimum_liquidity' END)"""
 
 
-BASE_REASONS = reasons(52, "'core'")
-EXT_REASONS = reasons(12, "'core', 'extension'")
+BASE_REASONS = reasons(26, "'core'")
+EXT_REASONS = reasons(8, "'core', 'extension'")
 cte("ct_grid", """
 SELECT d.date, m.security_id, m.ticker, m.subsector, m.universe_tier, m.exchange_or_market, f.close, f.history_days, f.adv
 FROM (SELECT DISTINCT date FROM ct_prices) d CROSS JOIN ct_master m
@@ -105,54 +105,55 @@ SELECT date, security_id, ticker, subsector, universe_tier, {BASE_REASONS} AS wh
 cte("ct_membership", """
 SELECT date, security_id, subsector, universe_tier, why = '' AS eligible, nullif(why, '') AS exclusion_reason,
        ext_why = '' AS extension_eligible, nullif(ext_why, '') AS extension_reason
-FROM ct_verdicts WHERE date BETWEEN DATE '1995-06-05' AND DATE '2001-10-01'""")
+FROM ct_verdicts WHERE date BETWEEN DATE '1995-05-01' AND DATE '2001-10-01'""")
 cte("ct_panel", """
 SELECT f.date, f.security_id, m.ticker, m.subsector, m.universe_tier, 'star_schema_v1' AS universe_version, f.adj_close,
        f.ret, f.volume, coalesce(e.eligible, false) AS eligible, coalesce(e.extension_eligible, false) AS extension_eligible,
-       coalesce(abs(f.ret) > 0.15, false) AS extreme_return_flag, f.close, m.company_name
+       coalesce(abs(f.ret) > 0.15, false) AS extreme_return_flag, f.close, m.company_name,
+       m.subsector || '/' || CAST(CAST(substr(m.ticker, 3, 10) AS BIGINT) // 25 AS VARCHAR) AS peer_group
 FROM ct_features f JOIN ct_master m USING (security_id)
 LEFT JOIN ct_membership e ON e.date = f.date AND e.security_id = f.security_id""")
 cte("ct_factor", "SELECT date, avg(ret) AS factor FROM ct_panel WHERE eligible GROUP BY date")
 cte("ct_adjusted", """
 SELECT p.*, f.factor, p.ret - f.factor AS adj FROM ct_panel p LEFT JOIN ct_factor f USING (date)""")
 cte("ct_pairs", """
-SELECT a.date, a.security_id, b.security_id AS peer_id, a.subsector,
+SELECT a.date, a.security_id, b.security_id AS peer_id, a.subsector, a.peer_group,
        1.0 / count(*) OVER (PARTITION BY a.date, a.security_id) AS weight
-FROM ct_adjusted a JOIN ct_adjusted b ON a.date = b.date AND a.subsector = b.subsector AND a.security_id <> b.security_id
+FROM ct_adjusted a JOIN ct_adjusted b ON a.date = b.date AND a.peer_group = b.peer_group AND a.security_id <> b.security_id
 WHERE a.eligible AND b.eligible""")
 cte("ct_relative", """
-SELECT x.date, x.security_id, x.subsector, count(b.adj) AS peer_count, avg(b.adj) AS peer_adj, avg(b.ret) AS peer_ret,
+SELECT x.date, x.security_id, x.subsector, x.peer_group, count(b.adj) AS peer_count, avg(b.adj) AS peer_adj, avg(b.ret) AS peer_ret,
        any_value(a.adj) AS own_adj, any_value(a.ret) AS own_ret, any_value(a.adj) - avg(b.adj) AS rel
 FROM ct_pairs x JOIN ct_adjusted b ON b.date = x.date AND b.security_id = x.peer_id
 JOIN ct_adjusted a ON a.date = x.date AND a.security_id = x.security_id
-GROUP BY 1, 2, 3""")
+GROUP BY 1, 2, 3, 4""")
 cte("ct_scored", """
 SELECT r.*, p.volume, p.extreme_return_flag,
-  CASE WHEN count(CASE WHEN r.peer_count >= 3 AND NOT p.extreme_return_flag THEN r.rel END) OVER w >= 20
-       THEN stddev_samp(CASE WHEN r.peer_count >= 3 AND NOT p.extreme_return_flag THEN r.rel END) OVER w END AS vol
+  CASE WHEN count(CASE WHEN r.peer_count >= 2 AND NOT p.extreme_return_flag THEN r.rel END) OVER w >= 20
+       THEN stddev_samp(CASE WHEN r.peer_count >= 2 AND NOT p.extreme_return_flag THEN r.rel END) OVER w END AS vol
 FROM ct_relative r JOIN ct_panel p USING (date, security_id) WHERE r.rel IS NOT NULL
 WINDOW w AS (PARTITION BY r.security_id ORDER BY r.date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)""")
 cte("ct_movers", """
 SELECT *, greatest(0.05, 2.0 * vol) AS threshold FROM ct_scored
-WHERE vol IS NOT NULL AND peer_count >= 3 AND NOT extreme_return_flag AND abs(rel) > greatest(0.05, 2.0 * vol)""")
+WHERE vol IS NOT NULL AND peer_count >= 2 AND NOT extreme_return_flag AND abs(rel) > greatest(0.05, 2.0 * vol)""")
 cte("ct_next", """
-SELECT c.subsector, c.date, min(n.date) AS next_date
-FROM (SELECT DISTINCT subsector, date FROM ct_movers) c
-LEFT JOIN (SELECT DISTINCT subsector, date FROM ct_movers) n ON n.subsector = c.subsector AND n.date > c.date + 21
+SELECT c.peer_group, c.date, min(n.date) AS next_date
+FROM (SELECT DISTINCT peer_group, date FROM ct_movers) c
+LEFT JOIN (SELECT DISTINCT peer_group, date FROM ct_movers) n ON n.peer_group = c.peer_group AND n.date > c.date + 21
 GROUP BY 1, 2""")
 cte("ct_kept", """
-SELECT subsector, min(date) AS date FROM ct_movers GROUP BY subsector
+SELECT peer_group, min(date) AS date FROM ct_movers GROUP BY peer_group
 UNION ALL
-SELECT n.subsector, n.next_date FROM ct_kept k JOIN ct_next n ON n.subsector = k.subsector AND n.date = k.date
+SELECT n.peer_group, n.next_date FROM ct_kept k JOIN ct_next n ON n.peer_group = k.peer_group AND n.date = k.date
 WHERE n.next_date IS NOT NULL""")
 cte("ct_events", """
 SELECT 'evt_' || substr(sha256(CAST(m.date AS VARCHAR) || '|' || m.security_id || '|economic_subsector_peers'), 1, 16) AS event_id,
-       m.date, m.security_id, m.subsector, CASE WHEN rel > 0 THEN 'positive' ELSE 'negative' END AS direction,
+       m.date, m.security_id, m.subsector, m.peer_group, CASE WHEN rel > 0 THEN 'positive' ELSE 'negative' END AS direction,
        CASE WHEN rel > 0 THEN 1.0 ELSE -1.0 END AS sgn, rel AS relative_return, vol AS relative_volatility, threshold, volume,
-       CASE WHEN count(*) OVER (PARTITION BY m.date, m.subsector) >= 2
-            THEN 'sim_' || substr(sha256(CAST(m.date AS VARCHAR) || '|economic_subsector_peers|' || m.subsector), 1, 16)
+       CASE WHEN count(*) OVER (PARTITION BY m.date, m.peer_group) >= 2
+            THEN 'sim_' || substr(sha256(CAST(m.date AS VARCHAR) || '|economic_subsector_peers|' || m.peer_group), 1, 16)
        END AS sim, peer_count
-FROM ct_movers m JOIN ct_kept k ON k.subsector = m.subsector AND k.date = m.date""")
+FROM ct_movers m JOIN ct_kept k ON k.peer_group = m.peer_group AND k.date = m.date""")
 cte("ct_calendar", """
 SELECT date, CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS pos FROM (SELECT DISTINCT date FROM ct_panel)""")
 cte("ct_days", """

@@ -1,3 +1,3 @@
 """Imports every query module, which fills the registry."""
 
-from . import core_queries  # noqa: F401
+from . import analysis_queries, core_queries, report_queries  # noqa: F401

@@ -200,7 +200,7 @@ def _(ws):
 PORTFOLIO_SQL = """
 SELECT date, security_id, '{d}' AS peer_definition, {g} AS peer_group, n - 1 AS portfolio_size, {w} AS weight
 FROM (SELECT *, count(*) OVER (PARTITION BY date{by}) AS n FROM ct_panel WHERE eligible) WHERE n > 1"""
-ECONOMIC_SQL = PORTFOLIO_SQL.format(d=ECONOMIC, g="subsector", by=", subsector", w=r("1.0 / (n - 1)"))
+ECONOMIC_SQL = PORTFOLIO_SQL.format(d=ECONOMIC, g="peer_group", by=", peer_group", w=r("1.0 / (n - 1)"))
 BROAD_SQL = PORTFOLIO_SQL.format(d=BROAD, g="'*'", by="", w=r("1.0 / (n - 1)"))
 
 
@@ -240,7 +240,7 @@ def _(ws):
 
 
 @query("relative_abnormal_returns", f"""
-SELECT date, security_id, 'economic_subsector_peers' AS peer_definition, subsector AS peer_group, peer_count,
+SELECT date, security_id, 'economic_subsector_peers' AS peer_definition, peer_group, peer_count,
        {r('own_adj')} AS stock_abnormal_return, {r('peer_adj')} AS peer_abnormal_return, {r('rel')} AS relative_abnormal_return FROM ct_relative""")
 def _(ws):
     return pr.relative_abnormal_returns(ws.adjusted, ADJUSTED)
@@ -293,7 +293,7 @@ firm_kept AS (
   UNION ALL
   SELECT n.security_id, n.next_date FROM firm_kept k JOIN firm_next n ON n.security_id = k.security_id AND n.date = k.date WHERE n.next_date IS NOT NULL)
 SELECT 'firm' AS cooldown_scope, m.date, m.security_id FROM ct_movers m JOIN firm_kept k USING (security_id, date)
-UNION ALL SELECT 'peer_group', m.date, m.security_id FROM ct_movers m JOIN ct_kept k USING (subsector, date)
+UNION ALL SELECT 'peer_group', m.date, m.security_id FROM ct_movers m JOIN ct_kept k USING (peer_group, date)
 UNION ALL SELECT 'none', date, security_id FROM ct_movers""")
 def _(ws):
     movers = ev.threshold_candidates(ev.trailing_volatility(ws.candidates, DETECTION), DETECTION)
@@ -308,7 +308,7 @@ def _(ws):
 
 
 @query("simultaneous_groups", """
-SELECT sim AS simultaneous_event_group, date, subsector AS peer_group, count(*) AS securities FROM ct_events WHERE sim IS NOT NULL GROUP BY ALL""")
+SELECT sim AS simultaneous_event_group, date, peer_group, count(*) AS securities FROM ct_events WHERE sim IS NOT NULL GROUP BY ALL""")
 def _(ws):
     return (ws.events.where("simultaneous_event_group IS NOT NULL")
             .groupBy("simultaneous_event_group", "date", "peer_group").agg(F.count("*").alias("securities")))
