@@ -200,7 +200,7 @@ FROM ct_panel WINDOW w21 AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN
   w20 AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 cte("ct_strata", """
 SELECT r.date, r.security_id, r.eligible, r.subsector, r.peer_group,
-  CASE WHEN vol >= CASE WHEN count(vol) OVER past >= 20 THEN median(vol) OVER past END THEN 'high' ELSE 'normal' END AS volatility_regime,
+  CASE WHEN r.vol >= CASE WHEN count(r.vol) OVER past >= 20 THEN median(r.vol) OVER past END THEN 'high' ELSE 'normal' END AS volatility_regime,
   CASE WHEN s.date IS NULL THEN NULL WHEN s.sum21 >= 0 THEN 'sector_up' ELSE 'sector_down' END AS market_regime,
   CASE WHEN liq >= median(liq) OVER (PARTITION BY r.date) THEN 'high' ELSE 'low' END AS liquidity_bucket, r.info
 FROM ct_strata_raw r LEFT JOIN ct_state s ON s.date = r.date

@@ -403,9 +403,25 @@ def _(ws):
     return ws.random_edges.withColumn("iteration", F.col("iteration").cast("bigint"))
 
 
-@query("random_peer_rules", "SELECT 'random_peers' AS dataset, '' AS code, '' AS subject, 0 AS violations WHERE false")
+# Rules run on deliberately damaged placebos, so that each kind of violation is counted.
+DAMAGED_EDGES = """
+bad AS (SELECT k, event_id, date, security_id, CASE WHEN k = 5 THEN security_id ELSE peer_id END AS peer_id, CASE WHEN k = 3 THEN 2 * weight ELSE weight END AS weight
+  FROM ct_random_edges),
+held AS (SELECT k, event_id, sum(weight) AS w, count(*) AS n, count(DISTINCT peer_id) AS d, max(weight) AS w1 FROM bad GROUP BY 1, 2),
+sizes AS (SELECT e.event_id, count(*) AS n, 1.0 / count(*) AS was FROM ct_events e JOIN ct_pairs x ON x.date = e.date AND x.security_id = e.security_id GROUP BY 1)"""
+
+
+@query("random_peer_rules", f"""
+WITH {DAMAGED_EDGES}
+SELECT 'random_peers' AS dataset, code, subject, violations FROM (
+  SELECT 'self_peer' AS code, 'peer_id' AS subject, count(*) AS violations FROM bad WHERE security_id = peer_id
+  UNION ALL SELECT 'invalid_weight_sum', 'weight', count(*) FROM held WHERE abs(w - 1) > 1e-10
+  UNION ALL SELECT 'peer_count_changed', 'peer_id', count(*) FROM held WHERE d <> n
+  UNION ALL SELECT 'weight_rule_changed', 'weight', count(*) FROM held JOIN sizes USING (event_id) WHERE abs(w1 - was) > 1e-12) WHERE violations > 0""")
 def _(ws):
-    return rs.random_peer_rules(ws.random_edges, ws.event_sizes, ws.pool)
+    damaged = ws.random_edges.withColumn("peer_id", F.when(F.col("iteration") == 5, F.col("security_id")).otherwise(F.col("peer_id")))
+    damaged = damaged.withColumn("weight", F.when(F.col("iteration") == 3, 2 * F.col("weight")).otherwise(F.col("weight")))
+    return rs.random_peer_rules(damaged, ws.event_sizes, ws.pool)
 
 
 RUN_OUT = f"""event_id, horizon, {r('peer_car')} AS peer_car, {r('convergence')} AS convergence, valid AS valid_horizon, reason AS missing_reason"""
@@ -429,9 +445,13 @@ def _(ws):
     return ws.pseudo.select(F.col("iteration").cast("bigint").alias("iteration"), "source_event_id", "event_id", "date", "security_id", "direction")
 
 
-@query("pseudo_event_rules", "SELECT 'pseudo_events' AS dataset, '' AS code, '' AS subject, 0 AS violations WHERE false")
+@query("pseudo_event_rules", """
+WITH bad AS (SELECT p.source_event_id, CASE WHEN p.k = 2 THEN e.date ELSE p.date END AS date, e.date AS real_date, p.security_id FROM ct_pseudo p JOIN ct_events e ON e.event_id = p.source_event_id)
+SELECT 'pseudo_events' AS dataset, 'inside_exclusion_window' AS code, 'date' AS subject, count(*) AS violations FROM bad WHERE abs(date - real_date) <= 30""")
 def _(ws):
-    return rs.pseudo_event_rules(ws.pseudo, ws.events, ws.matching, RESAMPLING.match_columns, RESAMPLING.pseudo_event_exclusion_days)
+    real = ws.events.select(F.col("event_id").alias("source_event_id"), F.col("date").alias("__d"))
+    damaged = ws.pseudo.join(real, "source_event_id").withColumn("date", F.when(F.col("iteration") == 2, F.col("__d")).otherwise(F.col("date")))
+    return rs.pseudo_event_rules(damaged, ws.events, ws.matching, RESAMPLING.match_columns, RESAMPLING.pseudo_event_exclusion_days)
 
 
 @query("pseudo_event_placebo", f"WITH {rn.PSEUDO_RUN} SELECT k AS iteration, {RUN_OUT} FROM ps_out")
