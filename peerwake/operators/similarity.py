@@ -109,16 +109,17 @@ def correlation_peers(initiators: DataFrame, candidates: DataFrame, minimum: int
         mats = _matrices(left, right) if len(left) and len(right) else None
         if mats is not None:
             corr, n = pairwise_correlation(*mats)
-            corr = np.where(n >= minimum, np.round(corr, 10), np.nan)
+            corr = np.where(n >= minimum, corr, np.nan)
+            level = np.round(corr, 10)  # rounding noise must not break ties
             ids = right["security_id"].to_numpy()
             for i, (event, me) in enumerate(zip(left["event_id"], left["security_id"])):
                 ok = np.flatnonzero(~np.isnan(corr[i]) & (ids != me))
-                order = ok[np.lexsort((ids[ok].astype(str), -corr[i, ok]))][:top]
+                order = ok[np.lexsort((ids[ok].astype(str), -level[i, ok]))][:top]
                 out += [(event, ids[j], float(corr[i, j])) for j in order]
         return pd.DataFrame(out, columns=["event_id", "peer_id", "correlation"])
 
     local = _blocked(initiators, candidates, unit).applyInPandas(best, "event_id string, peer_id string, correlation double")
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("correlation"), "peer_id"))
+    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc(F.round("correlation", 10)), "peer_id"))
     chosen = local.withColumn("rank", rank).where(F.col("rank") <= top)
     size = F.count("*").over(Window.partitionBy("event_id"))
     keys = initiators.select("event_id", "date", "security_id")

@@ -53,14 +53,14 @@ SELECT t, date FROM (SELECT t, date, row_number() OVER (PARTITION BY t ORDER BY
   SELECT DISTINCT e.date AS t, x.date FROM (SELECT DISTINCT date FROM ct_events) e JOIN ct_panel m ON m.date = e.date AND m.eligible
   JOIN ct_panel x ON x.security_id = m.security_id AND x.date < e.date)) WHERE rk <= 60""")
 cte("ct_corr", """
-SELECT e.event_id, e.date, e.security_id, p.security_id AS peer_id, round(corr(a.ret, b.ret), 10) AS c, count(*) AS n
+SELECT e.event_id, e.date, e.security_id, p.security_id AS peer_id, corr(a.ret, b.ret) AS c, count(*) AS n
 FROM ct_events e JOIN ct_panel p ON p.date = e.date AND p.eligible AND p.security_id <> e.security_id
 JOIN ct_unit_dates d ON d.t = e.date JOIN ct_panel a ON a.security_id = e.security_id AND a.date = d.date
 JOIN ct_panel b ON b.security_id = p.security_id AND b.date = d.date
 WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 30""")
 cte("ct_corr_top", """
 SELECT *, 1.0 / count(*) OVER (PARTITION BY event_id) AS weight FROM (
-  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY c DESC, peer_id) AS rk FROM ct_corr WHERE c IS NOT NULL AND NOT isnan(c)) WHERE rk <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(c, 10) DESC, peer_id) AS rk FROM ct_corr WHERE c IS NOT NULL AND NOT isnan(c)) WHERE rk <= 10""")
 cte("ct_def_edges", """
 SELECT 'economic_subsector_peers' AS k, e.event_id, x.peer_id, x.weight FROM ct_events e JOIN ct_pairs x ON x.date = e.date AND x.security_id = e.security_id
 UNION ALL SELECT 'trailing_return_similarity_peers' AS k, event_id, peer_id, weight FROM ct_corr_top
@@ -121,7 +121,7 @@ cte("ct_chars", """
 SELECT e.event_id, abs(e.relative_return) AS shock_magnitude, abs(e.relative_return) / e.relative_volatility AS standardized_shock,
   CAST(NULL AS DOUBLE) AS log_market_cap, ln(1 + l.liq) AS log_trailing_dollar_volume, v.pct AS volume_percentile, e.volume / nullif(v.med, 0) AS abnormal_volume_ratio,
   s.vol20 AS semiconductor_volatility, CAST(NULL AS DOUBLE) AS market_volatility, s.sum126 AS trailing_semiconductor_return,
-  CASE WHEN s.sum126 < 0 THEN 1.0 ELSE 0.0 END AS bear_regime, CASE WHEN e.direction = 'negative' THEN 1.0 ELSE 0.0 END AS negative_event,
+  CAST(CASE WHEN s.sum126 < 0 THEN 1 ELSE 0 END AS DOUBLE) AS bear_regime, CAST(CASE WHEN e.direction = 'negative' THEN 1 ELSE 0 END AS DOUBLE) AS negative_event,
   CAST(c.peer_count AS DOUBLE) AS peer_count, q.mean_corr AS average_peer_correlation, q.basket_corr AS peer_return_similarity, c.coverage AS peer_portfolio_coverage
 FROM ct_events e LEFT JOIN ct_liquid l ON l.date = e.date AND l.security_id = e.security_id LEFT JOIN ct_volume v USING (event_id)
 LEFT JOIN ct_state s ON s.date = e.date LEFT JOIN ct_coverage c USING (event_id) LEFT JOIN ct_quality q USING (event_id)""")
