@@ -102,6 +102,9 @@ def fit(rows: DataFrame, keys: list[str], y: str, x: list[str], categories: dict
         return rows_.groupBy(*keys).agg(F.count("*").alias(f"g_{tag}"),
                                         F.array(*[F.sum(F.col("__u")[i] ** 2) for i in range(k)]).alias(f"v_{tag}"))
 
+    def scaled(column: str, factor: Column) -> Column:
+        return F.transform(column, lambda v: v * factor)
+
     model = null_safe_on(solved, errors, keys)
     n, p = F.col("sample_size"), F.size("__keep")
     if covariance == "cluster":
@@ -113,13 +116,13 @@ def fit(rows: DataFrame, keys: list[str], y: str, x: list[str], categories: dict
             model = null_safe_on(model, squares(by, tag), keys)
             g = F.col(f"g_{tag}")
             scale = sign * F.try_divide(g, g - 1) * F.try_divide(n - 1, n - p)
-            variance = F.zip_with(variance, F.transform(f"v_{tag}", lambda v, s=scale: v * s), lambda a, b: a + b)
+            variance = F.zip_with(variance, scaled(f"v_{tag}", scale), lambda a, b: a + b)
         model = model.withColumn("cluster_count", F.least(*[F.col(f"g_{c}") for c in clusters]) if len(clusters) > 1
                                  else F.col(f"g_{clusters[0]}"))
     else:
         model = null_safe_on(model, squares((), "all"), keys).withColumn("cluster_count", F.lit(None).cast("bigint"))
         scale = F.try_divide(n, n - F.col("rank")) if covariance == "hc1" else F.lit(1.0)
-        variance = F.transform("v_all", lambda v: v * scale)
+        variance = scaled("v_all", scale)
     model = model.withColumn("__var", variance)
     r2 = 1 - F.try_divide("__ssr", F.nullif("__tss", F.lit(0.0)))
     model = model.withColumn("r_squared", F.when(F.col("estimated"), r2)).withColumn(
