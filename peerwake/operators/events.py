@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import checkpointed
+from ..functions.checkpoints import checkpointed, staged
 from ..functions.exprs import gated, tagged_id, trailing
 from ..params import COOLDOWN_SCOPES, Detection
 
@@ -149,5 +149,7 @@ def detect_events(candidates: DataFrame, p: Detection, value: str = "relative_ab
         movers = threshold_candidates(scored, p, value, F.col(keys[-1]))
     else:
         movers = threshold_candidates(scored, p, value)
+    # Threshold passers are rare and read several times below; the trailing windows run once.
+    movers = staged(movers, "movers")
     accepted = apply_cooldown(movers, p.cooldown_period, p.cooldown_scope, keys, one_group_per_firm)
     return finish_events(accepted, value, keys)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import staged
 from ..params import CORRELATION
 
 INITIATORS_PER_BLOCK = 256
@@ -37,7 +38,11 @@ def prepare(events: DataFrame, members: DataFrame, returns: DataFrame, calendar:
     """
     past = _histories(returns, calendar, value, span)
     units = events.select(*unit).distinct()
-    sets = members.select(*unit, "security_id").join(units, unit, "left_semi").join(past, ["date", "security_id"])
+    wanted = members.select(*unit, "security_id").join(units, unit, "left_semi")
+    # Histories of the rows that take part are written once; every later step reads them.
+    needed = wanted.select("date", "security_id").unionByName(events.select("date", "security_id")).distinct()
+    past = staged(past.join(needed, ["date", "security_id"], "left_semi"), "histories")
+    sets = wanted.join(past, ["date", "security_id"])
     starters = events.select(*unit, "event_id", "security_id").join(past, ["date", "security_id"])
     traded = (sets.select(*unit, "position", F.explode("past.at").alias("at"))
               .unionByName(starters.select(*unit, "position", F.explode("past.at").alias("at")))

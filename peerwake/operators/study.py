@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import staged
 from ..functions.exprs import joined_labels, null_if_empty, sign_of, when_label
 from ..params import BROAD, ECONOMIC, EVERYONE, Study
 
@@ -88,23 +89,35 @@ def event_panel(events: DataFrame, frame: DataFrame, p: Study, return_specificat
     rows are (keys, event_id, date, peer_id, weight).
     """
     calendar = trading_calendar(frame) if calendar is None else calendar
+    row_key = [*frame_keys, "date", "security_id"]
+    starters = events.select(*row_key).distinct()
     near = _neighbours(frame, calendar, p, frame_keys)
     spec = F.lit(return_specification) if isinstance(return_specification, str) else (
         F.col("return_specification") if return_specification is None else return_specification)
     ids = [*keys, "event_id"]
-    # The initiator's own days.
-    own = near.select(*frame_keys, "date", "security_id", F.col("near").alias("__own"), F.col("groups").alias("__groups"))
-    ev = events.join(own, [*frame_keys, "date", "security_id"], "left")
-    mine = lambda d: F.filter("__own", lambda e: e["day"] == d)[0]["x"]
+    # Only rows of portfolios or initiators on event dates go on; they are written once, as
+    # both sides below read them.
+    if edges is None:
+        cell = [*frame_keys, "date", "peer_definition", "peer_group"]
+        cells = events.select(*cell).distinct().withColumn("__hot", F.lit(True))
+        spread = near.select(*row_key, "near", "groups", F.posexplode_outer("groups").alias("__pos", "__g"))
+        spread = spread.select(*row_key, "near", "groups", "__pos", F.col("__g.peer_definition").alias("peer_definition"),
+                               F.col("__g.peer_group").alias("peer_group"))
+        spread = spread.join(cells, cell, "left").join(starters.withColumn("__starts", F.lit(True)), row_key, "left")
+        used = staged(spread.where("__hot OR __starts"), "event_neighbours")
+        own = used.where("__starts AND coalesce(__pos, 0) = 0")
+    else:
+        peers = edges.select(*frame_keys, "date", F.col("peer_id").alias("security_id"))
+        used = staged(near.join(starters.unionByName(peers).distinct(), row_key, "left_semi"), "event_neighbours")
+        own = used
+    own = own.select(*row_key, F.col("near").alias("__own"), F.col("groups").alias("__groups"))
+    ev = events.join(own, row_key, "left")
     days = _event_days(ev, calendar, p, keys)
     days = days.withColumn("initiator_return", F.try_element_at(
         F.transform(F.filter("__own", lambda e: e["day"] == F.col("relative_day")), lambda e: e["x"]), F.lit(1)))
     if edges is None:
-        cell = [*frame_keys, "date", "peer_definition", "peer_group"]
-        cells = events.select(*cell).distinct()
-        members = (near.where(F.col("groups").isNotNull()).withColumn("__g", F.explode("groups"))
-                   .select(*frame_keys, "date", "near", F.lit(1.0).alias("weight"), "__g.*"))
-        basket = _basket_days(members.join(cells, cell), cell, F.col("__e.x"))
+        members = used.where("__hot").select(*cell, "near", F.lit(1.0).alias("weight"))
+        basket = _basket_days(members, cell, F.col("__e.x"))
         sizes = basket.where("relative_day IS NULL").select(*cell, F.col("__size").alias("__members"))
         sums = basket.where("relative_day IS NOT NULL").select(*cell, "relative_day", "__sum", "__seen")
         rows = days.join(sums, [*cell, "relative_day"], "left").join(sizes, cell, "left")
@@ -118,7 +131,7 @@ def event_panel(events: DataFrame, frame: DataFrame, p: Study, return_specificat
         total = F.col("__sum") - F.when(F.col("__in") == 1, F.coalesce("initiator_return", F.lit(0.0))).otherwise(0.0)
         peer = F.when(valid & (seen == peers), total / peers)
     else:
-        held = near.select(*frame_keys, "date", F.col("security_id").alias("peer_id"), "near")
+        held = used.select(*frame_keys, "date", F.col("security_id").alias("peer_id"), "near")
         drawn = edges.select(*ids, "date", "peer_id", "weight", *[k for k in frame_keys if k not in keys])
         members = drawn.join(held, [*frame_keys, "date", "peer_id"], "left")
         basket = _basket_days(members, ids, F.col("weight") * F.col("__e.x"))
