@@ -85,7 +85,8 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), F.lit(max(1, n // 4)).alias("step")) for n in sizes])).alias("kind")
     grid = places.select("*", kinds).select("*", "kind.length", "kind.step")
     first = F.ceil(F.greatest(F.col("at") + SHINGLE - F.col("length"), F.lit(0)) / F.col("step")).cast("int")
-    starts = grid.withColumn("start", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("at") / F.col("step")).cast("int")))) * F.col("step")).where("start <= at")
+    starts = (grid.withColumn("k", F.explode(F.sequence(first, F.greatest(first, F.floor(F.col("at") / F.col("step")).cast("int")))))
+              .withColumn("start", F.col("k") * F.col("step")).where("start <= at"))
     edge = F.greatest(F.col("start") - F.col("step"), F.lit(0))
     cut = starts.select("doc_id", "text_id", "length", "start", F.slice("near", F.col("start") - F.col("low") + 1, F.col("length")).alias("window"),
                         F.slice("near", F.greatest(edge, F.col("low")) - F.col("low") + 1, F.col("length") + 2 * F.col("step")).alias("wide"))

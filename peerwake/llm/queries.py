@@ -43,7 +43,7 @@ def op8_license_scan(spark, sf_dir):
 
 
 def op9_decontamination(spark, sf_dir):
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
 def op10_language_id(spark, sf_dir):
