@@ -104,7 +104,7 @@ def _iban_check(country: str, rest: str) -> str:
 
 
 def _like(value: str, draw: _Draw) -> str:
-    hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
+    hexadecimal = len(value) >= 16 and not value.isdigit() and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
     letters = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
     either = "0123456789" + letters
     if hexadecimal:
