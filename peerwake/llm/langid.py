@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
-from .learning import Adam, remainder, sample_per_label, summed_rows
+from .learning import Adam, keyed_texts, remainder, sample_per_label, summed_rows
 
 LENGTH, EMBED, FILTERS, WIDTHS, CHUNK = 128, 6, 8, (2, 3, 4), 512
 PER_LABEL, MAX_CHARS, STEPS, BATCH = 400, 4_000, 600, 256
@@ -145,9 +145,9 @@ def train(texts: list[str], languages: list[str], steps: int = STEPS, seed: int
 
 
 def fit(docs: DataFrame, per_label: int = PER_LABEL) -> Network:
-    rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL").where(remainder(F.col("doc_id"), 3) != 1)
-    sample = [r for r in sample_per_label(rows, "lang", per_label, MAX_CHARS) if LETTER.search(r["text"])]
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    keys = keyed_texts(docs.where("lang IS NOT NULL").where(remainder(F.col("doc_id"), 3) != 1), "lang")
+    sample = [r for r in sample_per_label(keys, docs, "lang", per_label, MAX_CHARS) if LETTER.search(r["text"])]
+    return train([r["text"] for r in sample], [r["label"] for r in sample])
 
 
 def predict(docs: DataFrame, net: Network) -> DataFrame:

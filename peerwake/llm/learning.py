@@ -15,21 +15,28 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
 
 
-def sample_per_label(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list:
-    """At most ``per_label`` rows of each label, to the driver: the first by hash of the text.
+def keyed_texts(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns with each text's hash and length in place of the text."""
+    return docs.select(*columns, F.xxhash64("text").alias("order"), F.length("text").alias("size"))
 
-    Rows above ``max_chars`` characters aren't taught from (they are scored like any other).
-    The text hash is the order, so that the sample is the same on every run and layout. At most
-    ``LABELS`` labels are taught, the largest.
+
+def sample_per_label(keys: DataFrame, docs: DataFrame, label: str, per_label: int, max_chars: int) -> list:
+    """(label, text, order) of at most ``per_label`` texts of each label, to the driver: the first by hash of the text.
+
+    ``keys`` has label, order and size (see keyed_texts), so texts aren't moved to be chosen; the chosen
+    hashes, at most LABELS x per_label, are broadcast to fetch them. Texts above ``max_chars`` characters
+    aren't taught from (they are scored like any other). The hash is the order, so that the sample is
+    the same on every run and layout. At most ``LABELS`` labels are taught, the largest.
     """
-    fit = rows.where(F.length("text").between(1, max_chars)).select(label, "text", F.xxhash64("text").alias("order"))
+    fit = keys.where(F.col("size").between(1, max_chars)).select(label, "order")
     sizes = fit.groupBy(label).agg(F.approx_count_distinct("order").alias("n")).orderBy(F.desc("n")).limit(LABELS)
     # A bound on the hash leaves the wanted rows and some slack for each label; only those are ranked, copies once.
     share = F.least(F.lit(1.0), (F.lit(float(per_label)) * 1.2 + 8 * F.sqrt(F.lit(float(per_label))) + 50) / F.col("n"))
-    near = fit.join(F.broadcast(sizes), label).where(F.pmod("order", F.lit(1 << 30)) <= share * float(1 << 30))
-    once = near.groupBy(label, "order").agg(F.min("text").alias("text"))
-    ranked = once.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(F.pmod("order", F.lit(1 << 30)), "order")))
-    return sorted(ranked.where(F.col("k") <= per_label).select(label, "text", "order").collect(), key=lambda r: (r["order"], str(r[0])))
+    near = fit.join(F.broadcast(sizes), label).where(F.pmod("order", F.lit(1 << 30)) <= share * float(1 << 30)).select(label, "order").distinct()
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(F.pmod("order", F.lit(1 << 30)), "order")))
+    chosen = ranked.where(F.col("k") <= per_label).select(F.col(label).alias("label"), F.col("order").alias("chosen"))
+    found = docs.select("text", F.xxhash64("text").alias("order")).join(F.broadcast(chosen), F.col("order") == F.col("chosen"))
+    return sorted(found.groupBy("label", "order").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["order"], str(r["label"])))
 
 
 class Adam:

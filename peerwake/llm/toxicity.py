@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
-from .learning import Adam, remainder, sample_per_label, summed_rows
+from .learning import Adam, keyed_texts, remainder, sample_per_label, summed_rows
 
 WINDOW, STRIDE, CHUNK = 32, 16, 4096
 HIDDEN, WORD, CHARS, BUCKETS, VOCABULARY = 8, 8, 8, 4096, 8192
@@ -213,9 +213,9 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Network:
     """Train on a bounded sample of labelled rows that aren't held out."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(remainder(F.col("doc_id"), 5) != 0).join(marked, "doc_id")
-    sample = sample_per_label(rows, "toxic", per_label, MAX_CHARS)
-    return train([r["text"] for r in sample], [int(r["toxic"] > 0) for r in sample])
+    keys = keyed_texts(docs.where(remainder(F.col("doc_id"), 5) != 0), "doc_id").join(marked, "doc_id")
+    sample = sample_per_label(keys, docs, "toxic", per_label, MAX_CHARS)
+    return train([r["text"] for r in sample], [int(r["label"] > 0) for r in sample])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
