@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import arrow_map, small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 16
@@ -59,7 +59,7 @@ def _mapped(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, make
         for batch in make.cut(batches):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], make(batch.column(source))], names=[*kept, name])
 
-    return df.select(*dict.fromkeys([*kept, source])).mapInArrow(run, schema)
+    return arrow_map(df.select(*dict.fromkeys([*kept, source])), run, schema)
 
 
 class _Encode:

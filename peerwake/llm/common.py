@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but digits, lower-case letters and characters outside ASCII separates words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BATCH_ROWS = 1000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -43,16 +48,32 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, since texts may be long."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512,
                   size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a task holds about ``size`` bytes of text, or one text, at a time."""
     for batch in batches:
-        lengths = batch.column(column).fill_null("").to_pylist()
         start = held = 0
-        for i, text in enumerate(lengths):
-            if i > start and (held + len(text) > size or i - start >= rows):
+        for i, length in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > start and (held + length > size or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += len(text)
+            held += length
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for later tasks, beside other stages' workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

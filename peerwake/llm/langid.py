@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import arrow_map, small_batches
 from .learning import Adam, keyed_texts, remainder, sample_per_label, summed_rows
 
 LENGTH, EMBED, FILTERS, WIDTHS, CHUNK = 128, 6, 8, (2, 3, 4), 512
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(names, pa.string()), pa.array(score, pa.float64())],
                                              names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return arrow_map(docs.select(*kept), run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checkpoints import staged
-from .common import small_batches
+from .common import arrow_map, small_batches
 from .components import components
 
 SEED, WORDS, CROWD = 42, 3, 64
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return arrow_map(docs.select("doc_id", "text"), run, schema)
 
 
 def _keyed(fps: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _keyed(fps: DataFrame) -> DataFrame:
                 key = (np.int64(k) << 34) | (part[row] << 12) | near[first]
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp[row], pa.int64())], names=["key", "fp"])
 
-    return fps.mapInArrow(run, "key long, fp long")
+    return arrow_map(fps, run, "key long, fp long")
 
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checkpoints import staged
-from .common import small_batches
+from .common import arrow_map, small_batches
 
 KEY = b"surrogate-key-of-the-test-tables"
 #: Titles and the gender they tell (fixed values).
@@ -164,7 +164,7 @@ def _entities(texts: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["text_key", "kind", "value", "gender"])
 
-    return texts.mapInArrow(run, "text_key string, kind string, value string, gender string")
+    return arrow_map(texts, run, "text_key string, kind string, value string, gender string")
 
 
 def _drawn(entities: DataFrame, attempt: int, key: bytes) -> DataFrame:
@@ -174,7 +174,7 @@ def _drawn(entities: DataFrame, attempt: int, key: bytes) -> DataFrame:
             made = pa.array([surrogate(*r, attempt, key) for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("kind", "value", "gender")], made], names=["kind", "value", "gender", "surrogate"])
 
-    return entities.select("kind", "value", "gender").mapInArrow(run, "kind string, value string, gender string, surrogate string")
+    return arrow_map(entities.select("kind", "value", "gender"), run, "kind string, value string, gender string, surrogate string")
 
 
 def assign(entities: DataFrame, key: bytes = KEY, draw=_drawn) -> DataFrame:
@@ -209,7 +209,7 @@ def _replaced(found: DataFrame, names: list[str], schema: T.StructType) -> DataF
             columns["n_entities"] = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return found.select(*names, "given").mapInArrow(run, schema)
+    return arrow_map(found.select(*names, "given"), run, schema)
 
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import arrow_map, small_batches
 from .learning import Adam, keyed_texts, remainder, sample_per_label, summed_rows
 
-WINDOW, STRIDE, CHUNK = 32, 16, 4096
+WINDOW, STRIDE, CHUNK = 32, 16, 2048
 HIDDEN, WORD, CHARS, BUCKETS, VOCABULARY = 8, 8, 8, 4096, 8192
 PER_LABEL, MAX_CHARS, EPOCHS, STEPS = 1500, 8_000, 5, 500
 TOKEN = re.compile(r"[^\W_]+")
@@ -228,7 +228,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             found = net.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.float64())], names=[*kept, "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return arrow_map(docs.select(*kept), run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
