@@ -27,14 +27,14 @@ def tagged_id(prefix: str, *parts) -> Column:
     return F.concat(F.lit(prefix), F.substring(digest(*parts), 1, 16))
 
 
-def draw_u32(*parts) -> Column:
-    """Uniform 32-bit draw keyed by its arguments; the same value on every retry and engine."""
-    return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("bigint")
+def draw_u60(*parts) -> Column:
+    """Uniform 60-bit draw keyed by its arguments; the same value on every retry and engine."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("bigint")
 
 
 def draw_index(n, *parts) -> Column:
     """Zero-based uniform index below ``n``."""
-    return F.pmod(draw_u32(*parts), n)
+    return F.pmod(draw_u60(*parts), n)
 
 
 def when_label(condition: Column, label) -> Column:

@@ -149,9 +149,10 @@ def definition_outcomes(events: DataFrame, adjusted: DataFrame, value: str, corr
 
 
 def detected_outcomes(candidates: DataFrame, frame: DataFrame, detection: Detection, p: Study, value: str, calendar: DataFrame,
-                      keys: tuple[str, ...] = (), frame_keys: tuple[str, ...] = (), multipliers=None) -> DataFrame:
+                      keys: tuple[str, ...] = (), frame_keys: tuple[str, ...] = (), multipliers=None,
+                      one_group_per_firm: bool | None = None) -> DataFrame:
     """Detection and event study for all specifications in one pass, keyed by specification."""
-    events = staged(ev.detect_events(candidates, detection, keys=keys, one_group_per_firm=True, multiplier=multipliers), "spec_events")
+    events = staged(ev.detect_events(candidates, detection, keys=keys, one_group_per_firm=one_group_per_firm, multiplier=multipliers), "spec_events")
     panel = staged(st.event_panel(events, frame, p, value, keys=keys, frame_keys=frame_keys, calendar=calendar), "spec_panel")
     return st.event_outcomes(events, panel, p, keys)
 

@@ -16,7 +16,6 @@ from ..params import CELL, OUTCOMES, Inference
 from .reports import long_outcomes, mean_interval, with_all_direction
 
 # The tested direction of each outcome and the columns of each clustering.
-ALTERNATIVES = {"convergence": "greater", "peer_catchup": "two-sided", "initiator_reversal": "two-sided"}
 CLUSTERS = {"firm": ("security_id",), "event_date": ("event_date",), "two_way": ("security_id", "event_date")}
 CELL_KEYS = [*CELL, "direction", "outcome"]
 QUARTILES = {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import issue_rows
 from ..functions.checkpoints import staged
-from ..functions.exprs import digest, draw_index, draw_u32, gated, null_safe_on, tagged_id, trailing, union_all
+from ..functions.exprs import digest, draw_index, gated, null_safe_on, tagged_id, trailing, union_all
 from ..functions.selection import dense_index, percentiles
 from ..params import CELL, OUTCOMES, Detection, Resampling, Study, signature
 from . import events as ev
@@ -244,10 +244,11 @@ def null_detection_input(simulated: DataFrame, panel: DataFrame, metadata: DataF
 
 
 def selection_preserving_null(simulated: DataFrame, detection_input: DataFrame, panel: DataFrame, donors: DataFrame, detection: Detection,
-                              p: Study, value: str, spec: str, calendar: DataFrame) -> dict[str, DataFrame]:
+                              p: Study, value: str, spec: str, calendar: DataFrame,
+                              one_group_per_firm: bool | None = None) -> dict[str, DataFrame]:
     """Redetect and rerun the event study in every iteration; selection is part of the null."""
     key = ("null_iteration",)
-    events = staged(ev.detect_events(detection_input, detection, keys=key, one_group_per_firm=True), "null_events")
+    events = staged(ev.detect_events(detection_input, detection, keys=key, one_group_per_firm=one_group_per_firm), "null_events")
     frame = st.study_frame(simulated.join(panel.select("date", "security_id", "eligible", "peer_group"), ["date", "security_id"]), value, keys=key)
     epanel = staged(st.event_panel(events, frame, p, spec, keys=key, frame_keys=key, calendar=calendar), "null_panel")
     outcomes = staged(st.event_outcomes(events, epanel, p, key), "null_outcomes")

@@ -183,7 +183,7 @@ FROM ct_panel p JOIN (SELECT DISTINCT date FROM ct_events) d ON d.date = p.date
 cte("ct_random_slots", """
 SELECT o.it, o.event_id, o.date, o.security_id, o.weight, o.pool, (start + slot) % (o.pool - 1) AS step, o.place AS mine FROM (
   SELECT c.it, e.event_id, e.date, e.security_id, c.place, c.pool, z.n, 1.0 / z.n AS weight,
-    ('0x' || substr(sha256(concat_ws('|', 42, 'start', c.it, e.event_id)), 1, 8))::BIGINT % (c.pool - 1) AS start
+    ('0x' || substr(sha256(concat_ws('|', 42, 'start', c.it, e.event_id)), 1, 15))::BIGINT % (c.pool - 1) AS start
   FROM ct_events e JOIN ct_circle c ON c.date = e.date AND c.security_id = e.security_id
   JOIN (SELECT date, security_id, count(*) AS n FROM ct_pairs GROUP BY 1, 2) z ON z.date = e.date AND z.security_id = e.security_id) o
 CROSS JOIN LATERAL (SELECT unnest(range(0, o.n)) AS slot) s""")
@@ -217,7 +217,7 @@ cte("ct_pseudo", """
 SELECT b.it AS k, e.event_id AS source_event_id, 'pseudo_' || substr(sha256(e.event_id || '|' || CAST(p.date AS VARCHAR)), 1, 16) AS event_id,
   p.date, e.security_id, e.sgn, e.subsector, e.direction
 FROM ct_events e CROSS JOIN (SELECT unnest(range(0, 20)) AS it) b
-JOIN ct_pseudo_pool p ON p.event_id = e.event_id AND p.k = ('0x' || substr(sha256(concat_ws('|', 42, b.it, e.event_id)), 1, 8))::BIGINT % p.n + 1""")
+JOIN ct_pseudo_pool p ON p.event_id = e.event_id AND p.k = ('0x' || substr(sha256(concat_ws('|', 42, b.it, e.event_id)), 1, 15))::BIGINT % p.n + 1""")
 PSEUDO_RUN = run_ctes("ps", "ct_pseudo", "ct_pairs", PAIRS_ON, post=10, horizons="1, 3, 5, 10")
 
 cte("ct_regime_rank", """
@@ -225,7 +225,7 @@ SELECT date, regime, row_number() OVER (PARTITION BY regime ORDER BY date) AS rk
 cte("ct_donors", """
 SELECT b.it AS k, t.date AS target_date, s.date AS source_date, t.regime
 FROM ct_regime_rank t CROSS JOIN (SELECT unnest(range(0, 10)) AS it) b JOIN ct_regime_rank s ON s.regime = t.regime
-  AND s.rk = ('0x' || substr(sha256(concat_ws('|', 42, b.it, t.date)), 1, 8))::BIGINT % t.rk + 1""")
+  AND s.rk = ('0x' || substr(sha256(concat_ws('|', 42, b.it, t.date)), 1, 15))::BIGINT % t.rk + 1""")
 cte("ct_sim", """
 SELECT d.k, p.date, p.security_id, p.eligible, p.subsector, p.peer_group, p.volume, p.extreme_return_flag AS ext, m.mean + (q.adj - mq.mean) AS adj, d.source_date
 FROM ct_adjusted p JOIN ct_donors d ON d.target_date = p.date

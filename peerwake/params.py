@@ -84,7 +84,7 @@ class Universe:
     eligible_security_types: tuple[str, ...] = ("common_stock", "adr")
     allow_adrs: bool = True
     classification_snapshot_date: str | None = None
-    allow_classification_before_as_of: bool = True
+    allow_classification_before_as_of: bool = False
     eligibility_start_date: str | None = None
     eligibility_end_date: str | None = None
 

@@ -167,7 +167,7 @@ def spec_sql(run: str, px: str, variation: str, name: str, notes: str) -> str:
 
 
 THRESHOLD_NOTE = "minimum absolute move unchanged; all other rules frozen"
-RETURN_NOTE = "common frozen baseline event sample"
+RETURN_NOTE = "events of the main run under each return definition"
 UNIVERSE_NOTE = "uses point-in-time eligibility flags"
 
 
@@ -196,7 +196,7 @@ def outlier_rows(ws):
     return union_all([dg.specification_rows(ws.outcomes, kind, "all_events"),
                       dg.specification_rows(dg.winsorize_outcomes(ws.outcomes), kind, "winsorized_1_99", "outcomes winsorized within horizon"),
                       dg.specification_rows(dg.exclude_outliers(ws.outcomes), kind, "exclude_flagged_extremes",
-                                            "excludes convergence outside three IQRs within horizon")])
+                                            "without events whose convergence lies over three quartile ranges out at its horizon")])
 
 
 @query("threshold_sweep", spec_sql(rn.THRESHOLD_RUN, "th", "event_threshold", "format('{:g}', k) || '_sigma'", THRESHOLD_NOTE))
@@ -248,7 +248,7 @@ def _(ws):
   SELECT 'all_events' AS specification, '' AS notes, horizon, outcome, event_id, x FROM ct_long WHERE valid
   UNION ALL SELECT 'winsorized_1_99', 'outcomes winsorized within horizon', horizon, outcome, event_id, least(greatest(x, lo), hi)
   FROM ct_long JOIN (SELECT horizon, outcome, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM ct_long WHERE valid GROUP BY 1, 2) USING (horizon, outcome) WHERE valid
-  UNION ALL SELECT 'exclude_flagged_extremes', 'excludes convergence outside three IQRs within horizon', l.horizon, outcome, l.event_id, x
+  UNION ALL SELECT 'exclude_flagged_extremes', 'without events whose convergence lies over three quartile ranges out at its horizon', l.horizon, outcome, l.event_id, x
   FROM ct_long l JOIN (SELECT event_id, horizon FROM ct_outcomes JOIN (""" + IQR_SQL + """) USING (horizon)
     WHERE valid AND convergence BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1)) k ON k.event_id = l.event_id AND k.horizon = l.horizon""",
     "specification, notes, horizon, outcome", ["event_count", "sample_size", "mean", "median", "ci_lower", "ci_upper", "sample_label"],
@@ -355,7 +355,7 @@ def paired_boot(replications: int, seed: int) -> str:
     return f"""
 pv AS MATERIALIZED ({paired_values()}),
 pu AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY horizon, outcome ORDER BY sha256(event_id)) - 1 AS i, count(*) OVER (PARTITION BY horizon, outcome) AS total FROM pv),
-pd AS (SELECT u.horizon, u.outcome, b.it, ('0x' || substr(sha256(concat_ws('|', '{seed}', u.horizon, u.outcome, b.it, u.i)), 1, 8))::BIGINT % u.total AS pick
+pd AS (SELECT u.horizon, u.outcome, b.it, ('0x' || substr(sha256(concat_ws('|', '{seed}', u.horizon, u.outcome, b.it, u.i)), 1, 15))::BIGINT % u.total AS pick
   FROM pu u CROSS JOIN (SELECT unnest(range(0, {replications})) AS it) b),
 pm AS (SELECT d.horizon, d.outcome, d.it, avg(u.x) AS statistic FROM pd d JOIN pu u ON u.horizon = d.horizon AND u.outcome = d.outcome AND u.i = d.pick GROUP BY ALL),
 pb AS MATERIALIZED (SELECT horizon, outcome, quantile_cont(statistic, 0.025) AS lo, quantile_cont(statistic, 0.975) AS hi FROM pm GROUP BY 1, 2)"""
@@ -527,10 +527,10 @@ def unit_draws(method: str, seed: int, iterations: int = 200, block: int = 5) ->
     if method == "firm":
         return f"""
 un AS MATERIALIZED (SELECT security_id AS unit, row_number() OVER (ORDER BY sha256(security_id)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT security_id FROM ct_outcomes WHERE valid)),
-ud AS (SELECT b.it, ('0x' || substr(sha256(concat_ws('|', '{seed}', b.it, u.i)), 1, 8))::BIGINT % u.n AS pick FROM un u CROSS JOIN (SELECT unnest(range(0, {iterations})) AS it) b)"""
+ud AS (SELECT b.it, ('0x' || substr(sha256(concat_ws('|', '{seed}', b.it, u.i)), 1, 15))::BIGINT % u.n AS pick FROM un u CROSS JOIN (SELECT unnest(range(0, {iterations})) AS it) b)"""
     return f"""
 un AS MATERIALIZED (SELECT event_date AS unit, row_number() OVER (ORDER BY event_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT event_date FROM ct_outcomes WHERE valid)),
-ud AS (SELECT b.it, (('0x' || substr(sha256(concat_ws('|', '{seed}', b.it, u.i // {block})), 1, 8))::BIGINT % u.n + u.i % {block}) % u.n AS pick
+ud AS (SELECT b.it, (('0x' || substr(sha256(concat_ws('|', '{seed}', b.it, u.i // {block})), 1, 15))::BIGINT % u.n + u.i % {block}) % u.n AS pick
   FROM un u CROSS JOIN (SELECT unnest(range(0, {iterations})) AS it) b)"""
 
 
@@ -555,7 +555,7 @@ def _(ws):
 
 EVENT_BOOT = f"""
 eu AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY sha256(event_id)) - 1 AS i, count(*) OVER (PARTITION BY horizon) AS n FROM ct_outcomes WHERE valid),
-ed AS (SELECT u.horizon, b.it, ('0x' || substr(sha256(concat_ws('|', 1601, u.horizon, 'semiconductor_adjusted_return', 'economic_subsector_peers', b.it, u.i)), 1, 8))::BIGINT % u.n AS pick
+ed AS (SELECT u.horizon, b.it, ('0x' || substr(sha256(concat_ws('|', 1601, u.horizon, 'semiconductor_adjusted_return', 'economic_subsector_peers', b.it, u.i)), 1, 15))::BIGINT % u.n AS pick
   FROM eu u CROSS JOIN (SELECT unnest(range(0, 200)) AS it) b),
 eb AS MATERIALIZED (SELECT d.it, d.horizon, o.outcome, avg(CASE o.outcome WHEN 'convergence' THEN u.convergence WHEN 'peer_catchup' THEN u.peer_catchup ELSE u.initiator_reversal END) AS statistic, count(*) AS c
   FROM ed d JOIN eu u ON u.horizon = d.horizon AND u.i = d.pick CROSS JOIN (SELECT unnest(['convergence', 'peer_catchup', 'initiator_reversal']) AS outcome) o GROUP BY ALL)"""

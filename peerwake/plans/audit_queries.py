@@ -436,6 +436,6 @@ def _(ws):
 @query("subsector_summary", """
 SELECT m.subsector, coalesce(e.n, 0) AS event_count, coalesce(e.p, 0) AS positive_shocks, coalesce(e.q, 0) AS negative_shocks, coalesce(e.f, 0) AS initiating_companies, m.n AS classified_securities
 FROM (SELECT subsector, count(*) AS n FROM ct_master GROUP BY 1) m LEFT JOIN (SELECT subsector, count(*) AS n, count(*) FILTER (direction = 'positive') AS p,
-  count(*) FILTER (direction = 'negative') AS q, count(DISTINCT security_id) AS f FROM ct_events WHERE subsector <> 'EUROPE' GROUP BY 1) e USING (subsector)""")
+  count(*) FILTER (direction = 'negative') AS q, count(DISTINCT security_id) AS f FROM ct_events GROUP BY 1) e USING (subsector)""")
 def _(ws):
-    return rp.subsector_summary(ws.events.where("subsector <> 'EUROPE'"), ws.master)
+    return rp.subsector_summary(ws.events, ws.master)

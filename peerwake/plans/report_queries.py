@@ -160,7 +160,7 @@ units AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY horizon, direct
     count(*) OVER (PARTITION BY horizon, direction, outcome) AS total
   FROM (SELECT horizon, direction, outcome, {unit}, sum(x) AS s, count(x) AS c FROM v GROUP BY ALL)),
 draws AS (SELECT u.horizon, u.direction, u.outcome, b.it,
-    ('0x' || substr(sha256(concat_ws('|', '{seed}', u.horizon, {spec}, u.direction, u.outcome, b.it, u.i)), 1, 8))::BIGINT % u.total AS pick
+    ('0x' || substr(sha256(concat_ws('|', '{seed}', u.horizon, {spec}, u.direction, u.outcome, b.it, u.i)), 1, 15))::BIGINT % u.total AS pick
   FROM units u CROSS JOIN (SELECT unnest(range(0, {iterations})) AS it) b),
 boot AS MATERIALIZED (SELECT d.horizon, d.direction, d.outcome, d.it, sum(u.s) / sum(u.c) AS statistic, sum(u.c) AS n
   FROM draws d JOIN units u ON u.horizon = d.horizon AND u.direction = d.direction AND u.outcome = d.outcome AND u.i = d.pick
@@ -187,9 +187,7 @@ def _(ws):
     return inf.attrition(ws.outcomes)
 
 
-@query("summarize_event_outcomes", inference_sql(FIRM_ERRORS + f""",
-shape AS MATERIALIZED ({DISTRIBUTION_SQL.replace('WITH v AS (' + BOTH_DIRECTIONS + '),', 'WITH').replace('WITH' + chr(10) + 'ranked', 'WITH ranked')})""",
-    "", "").split("SELECT horizon, 'semi")[0].rstrip() if False else f"""
+@query("summarize_event_outcomes", f"""
 WITH v AS MATERIALIZED ({BOTH_DIRECTIONS}),
 c AS MATERIALIZED (SELECT horizon, direction, outcome, count(x) AS n, avg(x) AS m, stddev_samp(x) AS sd, median(x) AS med,
    avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS pos FROM v GROUP BY ALL),

@@ -26,6 +26,7 @@ from ..sources import driver_tables, market
 VERSION = "star_schema_v1"
 _MARKETS = tuple(f"NATION_{i}" for i in range(24))
 BASE_UNIVERSE = Universe(
+    allow_classification_before_as_of=True,  # the test tables have one undated classification
     universe_version=VERSION, allowed_universe_tiers=("core",), min_price=101.0, min_history_days=26,
     min_average_dollar_volume=6600.0, average_dollar_volume_window_days=10,
     allowed_exchange_or_markets=_MARKETS + tuple(f"{m} ADR" for m in _MARKETS),
@@ -231,9 +232,8 @@ class Workspace:
 
     @cached_property
     def pseudo(self) -> DataFrame:
-        # Some test events have no matched date; the study on these tables goes on without them.
         return self._stage(rs.pseudo_events(self.events, self.pseudo_candidates, RESAMPLING.match_columns,
-                                            RESAMPLING.pseudo_event_iterations, RESAMPLING.random_seed, strict=False), "pseudo")
+                                            RESAMPLING.pseudo_event_iterations, RESAMPLING.random_seed), "pseudo")
 
     @cached_property
     def pseudo_outcomes(self) -> DataFrame:

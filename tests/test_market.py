@@ -112,7 +112,8 @@ def test_universe_reasons_in_order(spark):
     master = spark.createDataFrame([("A", "NYSE", "common_stock", "core"), ("B", "NYSE", "adr", "core"), ("C", "XETRA", "fund", "extension")],
                                    "security_id string, exchange string, security_type string, universe_tier string")
     known = spark.createDataFrame([("A",), ("B",)], "security_id string")
-    p = Universe(min_price=5.0, min_history_days=2, min_average_dollar_volume=100.0, average_dollar_volume_window_days=2, allow_adrs=False)
+    p = Universe(min_price=5.0, min_history_days=2, min_average_dollar_volume=100.0, average_dollar_volume_window_days=2, allow_adrs=False,
+                 allow_classification_before_as_of=True)
     got = {(r.date, r.security_id): (r.eligible, r.exclusion_reason) for r in panel.universe_membership(prices, master, known, p).collect()}
     assert len(got) == 9
     assert got[(dates[0], "A")] == (False, "insufficient_history;insufficient_liquidity_history")
