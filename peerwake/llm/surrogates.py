@@ -180,7 +180,7 @@ def _drawn(entities: DataFrame, attempt: int, key: bytes) -> DataFrame:
 def assign(entities: DataFrame, key: bytes = KEY, draw=_drawn) -> DataFrame:
     """(kind, value, surrogate), one to one inside a kind, and no surrogate an entity of the kind."""
     open_, done, attempt = entities, None, 0
-    taken = entities.select("kind", F.col("value").alias("surrogate"))
+    taken = real = entities.select("kind", F.col("value").alias("surrogate"))
     while True:
         drawn = staged(draw(open_, attempt, key), "drawn")
         free = drawn.join(taken, ["kind", "surrogate"], "left_anti")
@@ -190,7 +190,7 @@ def assign(entities: DataFrame, key: bytes = KEY, draw=_drawn) -> DataFrame:
         open_ = staged(drawn.join(first.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "gender"), "open")
         if open_.isEmpty():
             return done.select("kind", "value", "surrogate")
-        taken, attempt = taken.unionByName(first.select("kind", "surrogate")), attempt + 1
+        taken, attempt = real.unionByName(done.select("kind", "surrogate")), attempt + 1
 
 
 def _replaced(found: DataFrame, names: list[str], schema: T.StructType) -> DataFrame:

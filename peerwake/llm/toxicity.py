@@ -85,7 +85,7 @@ class Network:
             words = TOKEN.findall(text.lower())
             n_words[k] = len(words)
             at += [index.setdefault(w, len(index)) for w in words]
-        words = list(index) or [""]
+        words = list(index) or ["-"]  # masked everywhere, but lookups need one word
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         if rng is not None:
             ids[rng.random(len(ids)) < 0.1] = 0  # some known words are left to the characters
