@@ -64,7 +64,8 @@ def _shingles(words: Column) -> Column:
 def _bands(words: Column) -> Column:
     """Band keys of the words' MinHash signature."""
     def keys(h: Column) -> Column:
-        least = [F.array_min(F.transform(h, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(BANDS * ROWS)]
+        minimum = lambda j: F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(j))))
+        least = [minimum(j) for j in range(BANDS * ROWS)]
         return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS:(b + 1) * ROWS]) for b in range(BANDS)])
     return let(_hashes(words), keys)
 
