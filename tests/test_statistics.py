@@ -18,29 +18,39 @@ def test_student_against_tables():
     assert student.normal_upper_tail([1.959963985]) == pytest.approx([0.025], abs=1e-9)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_percentiles_of_small_and_large_groups(spark, limit):
+def test_percentiles_of_small_groups(spark):
     rng = np.random.default_rng(1)
     data = {"a": rng.normal(size=101), "b": np.round(rng.normal(size=40), 1), "c": np.array([3.0]), None: rng.exponential(size=7)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, x double")
     named = {"q05": 0.05, "q50": 0.5, "q95": 0.95, "q0": 0.0, "q1": 1.0}
-    got = {r.k: r for r in selection.percentiles(df, ["k"], "x", named, limit).collect()}
+    got = {r.k: r for r in selection.percentiles(df, ["k"], "x", named).collect()}
     for k, vs in data.items():
         assert [got[k][n] for n in named] == pytest.approx(list(np.quantile(vs, list(named.values()))), abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_order_statistics_at_dependent_positions(spark, limit):
+def test_order_statistics_at_dependent_positions(spark):
     rng = np.random.default_rng(2)
     data = {k: rng.normal(size=n) for k, n in (("a", 55), ("b", 8))}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, x double")
     cut = F.floor(F.col("__n") * 0.1)
-    got = {r.k: r for r in selection.order_statistics(df, ["k"], "x", {"lo": cut, "hi": F.col("__n") - 1 - cut}, limit).collect()}
+    got = {r.k: r for r in selection.order_statistics(df, ["k"], "x", {"lo": cut, "hi": F.col("__n") - 1 - cut}).collect()}
     for k, vs in data.items():
         s, g = np.sort(vs), int(len(vs) * 0.1)
         assert (got[k].lo, got[k].hi) == (pytest.approx(s[g]), pytest.approx(s[len(s) - 1 - g]))
 
 
+def test_outliers_and_ties_leave_little_to_sort(spark):
+    rng = np.random.default_rng(4)
+    data = {"outlier": np.append(rng.uniform(size=20000), 1e9), "ties": np.append(np.full(15000, 0.5), rng.uniform(size=5000)), "same": np.full(3000, 2.0)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, __x double")
+    named = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    got = {r.k: r for r in selection.percentiles(df, ["k"], "__x", named).collect()}
+    for k, vs in data.items():
+        assert [got[k][n] for n in named] == pytest.approx(list(np.quantile(vs, list(named.values()))), abs=1e-12)
+    _, held = selection._cut(df, ["k"], {n: p * (F.col("__n") - 1) for n, p in named.items()})
+    assert all(r["__lo"] == r["__hi"] or r["__c"] < 400 for r in held.collect())
+
+
 def test_dense_index_is_a_permutation(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), digest(F.col("id")).alias("h"))
     rows = selection.dense_index(df, ["k"], "h", "i").collect()
