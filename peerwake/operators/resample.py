@@ -194,32 +194,33 @@ def donor_dates(regimes: DataFrame, iterations: int, seed: int = 42) -> DataFram
     """For each iteration and date, a donor date of the same regime that is not later.
 
     The k-th date of a regime draws uniformly among its first k, itself included. One row
-    per date and iteration.
+    per date and iteration. A date whose regime is null has no donor: ``source_date`` is null.
     """
     order = Window.partitionBy("regime").orderBy("date")
     ranked = regimes.select("date", "regime", F.row_number().over(order).cast("bigint").alias("rank"))
     drawn = _rounds(ranked, iterations, "null_iteration")
     drawn = drawn.withColumn("__pick", draw_index(F.col("rank"), seed, F.col("null_iteration"), F.col("date")) + 1)
     donors = ranked.select("regime", F.col("rank").alias("__pick"), F.col("date").alias("source_date"))
-    return drawn.join(F.broadcast(donors), ["regime", "__pick"]).select(
+    return drawn.join(F.broadcast(donors), ["regime", "__pick"], "left").select(
         "null_iteration", F.col("date").alias("target_date"), "source_date", "regime",
-        (F.col("source_date") > F.col("date")).alias("future_data_used"))
+        F.coalesce(F.col("source_date") > F.col("date"), F.lit(False)).alias("future_data_used"))
 
 
 def null_returns(returns: DataFrame, donors: DataFrame, value: str) -> DataFrame:
-    """Own-date mean plus the donor date's residual vector; rows of the input panel only.
+    """Own-date mean plus the donor date's residual: one row per input row and iteration.
 
-    A security's residuals fit in one map over the calendar, and donors depend on the date
-    alone, so every iteration is a lookup inside the security: no join on simulated rows.
+    The value is null where a date has no donor or the security was not observed on it; a
+    date that the donors don't name at all is an error. The work is the size of the output:
+    rows meet their date's draws and then the one residual of (security, donor date).
     """
     mean = returns.groupBy("date").agg(F.avg(value).alias("__m"))
     rows = returns.select("date", "security_id", F.col(value).alias("__x")).join(F.broadcast(mean), "date")
-    entry = F.when(F.col("__x").isNotNull(), F.struct(F.col("date"), (F.col("__x") - F.col("__m")).alias("r")))
-    maps = rows.groupBy("security_id").agg(F.map_from_entries(F.collect_list(entry)).alias("__res"))
+    residuals = rows.where("__x IS NOT NULL").select("security_id", F.col("date").alias("source_date"), (F.col("__x") - F.col("__m")).alias("__r"))
     dated = donors.select("null_iteration", F.col("target_date").alias("date"), "source_date")
-    wide = rows.select("date", "security_id", "__m").join(maps, "security_id").join(F.broadcast(dated), "date")
-    return wide.select("null_iteration", "date", "security_id",
-                       (F.col("__m") + F.try_element_at("__res", F.col("source_date"))).alias(value), "source_date")
+    wide = rows.select("date", "security_id", "__m").join(dated, "date", "left").join(residuals, ["security_id", "source_date"], "left")
+    named = F.when(F.col("null_iteration").isNull(), F.raise_error(F.lit("a return date has no row among the donors")).cast("int"))
+    return wide.select(F.coalesce("null_iteration", named).alias("null_iteration"), "date", "security_id",
+                       (F.col("__m") + F.col("__r")).alias(value), "source_date")
 
 
 def detection_metadata(relative: DataFrame, panel: DataFrame) -> DataFrame:

@@ -221,10 +221,10 @@ JOIN ct_pseudo_pool p ON p.event_id = e.event_id AND p.k = ('0x' || substr(sha25
 PSEUDO_RUN = run_ctes("ps", "ct_pseudo", "ct_pairs", PAIRS_ON, post=10, horizons="1, 3, 5, 10")
 
 cte("ct_regime_rank", """
-SELECT date, regime, row_number() OVER (PARTITION BY regime ORDER BY date) AS rk FROM (SELECT date, min(market_regime) AS regime FROM ct_strata WHERE market_regime IS NOT NULL GROUP BY 1)""")
+SELECT date, regime, row_number() OVER (PARTITION BY regime ORDER BY date) AS rk FROM (SELECT date, min(market_regime) AS regime FROM ct_strata GROUP BY 1)""")
 cte("ct_donors", """
 SELECT b.it AS k, t.date AS target_date, s.date AS source_date, t.regime
-FROM ct_regime_rank t CROSS JOIN (SELECT unnest(range(0, 10)) AS it) b JOIN ct_regime_rank s ON s.regime = t.regime
+FROM ct_regime_rank t CROSS JOIN (SELECT unnest(range(0, 10)) AS it) b LEFT JOIN ct_regime_rank s ON s.regime = t.regime
   AND s.rk = ('0x' || substr(sha256(concat_ws('|', 42, b.it, t.date)), 1, 15))::BIGINT % t.rk + 1""")
 cte("ct_sim", """
 SELECT d.k, p.date, p.security_id, p.eligible, p.subsector, p.peer_group, p.volume, p.extreme_return_flag AS ext, m.mean + (q.adj - mq.mean) AS adj, d.source_date

@@ -472,7 +472,7 @@ def _(ws):
     return out.select("event_id", "horizon", "valid_horizon", "missing_reason", "convergence", "method")
 
 
-@query("null_donor_dates", "SELECT CAST(k AS INTEGER) AS null_iteration, target_date, source_date, regime, source_date > target_date AS future_data_used FROM ct_donors")
+@query("null_donor_dates", "SELECT CAST(k AS INTEGER) AS null_iteration, target_date, source_date, regime, coalesce(source_date > target_date, false) AS future_data_used FROM ct_donors")
 def _(ws):
     return ws.donors
 

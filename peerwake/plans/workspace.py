@@ -241,7 +241,7 @@ class Workspace:
 
     @cached_property
     def donors(self) -> DataFrame:
-        regimes = self.matching.where("market_regime IS NOT NULL").groupBy("date").agg(F.min("market_regime").alias("regime"))
+        regimes = self.matching.groupBy("date").agg(F.min("market_regime").alias("regime"))
         return self._stage(rs.donor_dates(regimes, RESAMPLING.null_iterations, RESAMPLING.random_seed), "donors")
 
     @cached_property

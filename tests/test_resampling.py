@@ -32,6 +32,16 @@ def test_null_keeps_date_means_and_uses_no_future(spark):
     assert donors.exceptAll(rs.donor_dates(regimes.repartition(3), 5, 9)).count() == 0
 
 
+def test_null_keeps_dates_without_regime_and_refuses_unknown_ones(spark):
+    returns = returns_of(spark, 3, 6)
+    regimes = returns.select("date").distinct().withColumn("regime", F.when(F.dayofmonth("date") != 2, F.lit("a")))
+    sim = rs.null_returns(returns, rs.donor_dates(regimes, 4, 1), "x")
+    assert sim.count() == 4 * 6 * 3
+    assert sim.where("x IS NULL").count() == sim.where("source_date IS NULL").count() == 4 * 3
+    with pytest.raises(Exception, match="no row among the donors"):
+        rs.null_returns(returns, rs.donor_dates(regimes.where("day(date) != 3"), 4, 1), "x").collect()
+
+
 def test_random_peers_keep_their_promises(spark):
     pool = spark.createDataFrame([(day(t), f"F{i}") for t in range(3) for i in range(8)], "date date, security_id string")
     events = spark.createDataFrame([(f"e{i}", day(i % 3), f"F{i}", ECONOMIC) for i in range(6)],
