@@ -199,7 +199,10 @@ def outlier_rows(ws):
                                             "without events whose convergence lies over three quartile ranges out at its horizon")])
 
 
-@query("threshold_sweep", spec_sql(rn.THRESHOLD_RUN, "th", "event_threshold", "format('{:g}', k) || '_sigma'", THRESHOLD_NOTE))
+THRESHOLD_SQL = spec_sql(rn.THRESHOLD_RUN, "th", "event_threshold", "format('{:g}', k) || '_sigma'", THRESHOLD_NOTE)
+
+
+@query("threshold_sweep", THRESHOLD_SQL)
 def _(ws):
     return threshold_rows(ws)
 
@@ -210,12 +213,18 @@ UNION ALL BY NAME SELECT 'market_adjusted' AS specification, horizon, outcome, 0
 FROM (SELECT unnest([1, 3, 5, 10, 20]) AS horizon) CROSS JOIN (SELECT unnest(['convergence', 'peer_catchup', 'initiator_reversal']) AS outcome)"""
 
 
-@query("return_definition_sweep", spec_sql(rn.RETURN_RUN, "rd", "return_definition", "k", RETURN_NOTE) + MARKET_GAP)
+RETURN_SQL = spec_sql(rn.RETURN_RUN, "rd", "return_definition", "k", RETURN_NOTE) + MARKET_GAP
+
+
+@query("return_definition_sweep", RETURN_SQL)
 def _(ws):
     return return_rows(ws)
 
 
-@query("universe_sweep", spec_sql(rn.UNIVERSE_RUN, "un", "universe", "k", UNIVERSE_NOTE))
+UNIVERSE_SQL = spec_sql(rn.UNIVERSE_RUN, "un", "universe", "k", UNIVERSE_NOTE)
+
+
+@query("universe_sweep", UNIVERSE_SQL)
 def _(ws):
     return universe_rows(ws)
 
@@ -606,17 +615,22 @@ def _(ws):
     return rs.detection_metadata(ws.relative, ws.panel)
 
 
-@query("specification_summary")
+SUMMARY_METRICS = ("mean", "ci_lower", "ci_upper", "sample_size", "event_count", "status")
+SUMMARY_SQL = "SELECT variation_type, specification, horizon, notes, " + ", ".join(
+    f"max({m}) FILTER (outcome = '{o}') AS {o}_{m}" for o in OUTCOMES for m in SUMMARY_METRICS) + " FROM ({rows}) GROUP BY ALL"
+SWEEPS_SQL = " UNION ALL BY NAME ".join(f"({q.replace('WITH ', 'WITH RECURSIVE ', 1)})" for q in (THRESHOLD_SQL, RETURN_SQL, UNIVERSE_SQL))
+
+
+@query("specification_summary", SUMMARY_SQL.replace("{rows}", SWEEPS_SQL))
 def _(ws):
     return specification_summary(union_all([threshold_rows(ws), return_rows(ws), universe_rows(ws)]))
 
 
 def specification_summary(rows):
     """Long specification rows to one wide row per specification and horizon."""
-    metrics = ("mean", "ci_lower", "ci_upper", "sample_size", "event_count", "status")
     keys = ["variation_type", "specification", "horizon", "notes"]
     return rows.where(F.col("outcome").isin(*OUTCOMES)).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("outcome") == o, F.col(m))).alias(f"{o}_{m}") for o in OUTCOMES for m in metrics])
+        *[F.max(F.when(F.col("outcome") == o, F.col(m))).alias(f"{o}_{m}") for o in OUTCOMES for m in SUMMARY_METRICS])
 
 
 PERIOD_SQL = "CASE " + " ".join(f"WHEN year(event_date) BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in PERIODS) + " ELSE 'outside_frozen_sample' END"
