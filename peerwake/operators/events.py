@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpointed, staged
 from ..functions.exprs import gated, tagged_id, trailing
+from ..contracts import NUMERIC_TYPES
 from ..params import COOLDOWN_SCOPES, Detection
 
 EVENT_COLUMNS = (
@@ -27,6 +30,30 @@ def candidate_rows(relative: DataFrame, panel: DataFrame, keys: tuple[str, ...]
                     F.lit(False).alias("earnings_flag"), F.lit(False).alias("news_identified_flag")))
 
 
+def checked_candidates(rows: DataFrame, value: str = "relative_abnormal_return", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same rows; what the detector can't read stops it.
+
+    Absent columns and wrong types are refused at once. Holes, endless numbers, negative peer counts and a second row
+    of a (security, definition, date) stop the run that meets them: the test is part of ``value`` and shares the
+    trailing windows' sort, so it costs no pass of its own.
+    """
+    needed = ("date", "security_id", "peer_definition", "peer_group", "subsector", "peer_count", "corporate_action_type", value)
+    types = dict(rows.dtypes)
+    numeric = lambda c: types[c] in NUMERIC_TYPES or types[c].startswith("decimal")
+    if absent := [c for c in needed if c not in types]:
+        raise ValueError(f"event candidates lack {absent}")
+    if types["date"] != "date" or not (numeric("peer_count") and numeric(value)):
+        raise ValueError(f"event candidates need a date without time, and numbers as peer_count and {value}")
+    before = F.lag("date").over(Window.partitionBy(*keys, "security_id", "peer_definition").orderBy("date"))
+    endless = reduce(lambda a, b: a | b, [F.abs(F.col(c).cast("double")).isin(float("inf"), float("nan")) for c in ("peer_count", value)])
+    fault = (F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in needed]), F.lit("null value"))
+             .when(endless, F.lit("number that isn't finite")).when(F.col("peer_count") < 0, F.lit("negative peer_count"))
+             .when(before == F.col("date"), F.lit("second row of one date")))
+    told = F.concat_ws(" ", F.lit("event candidates:"), F.col("__fault"), F.lit("at"), "security_id", F.col("date").cast("string"))
+    return (rows.withColumn("__fault", fault)
+            .withColumn(value, F.when(F.col("__fault").isNotNull(), F.raise_error(told).cast("double")).otherwise(F.col(value))).drop("__fault"))
+
+
 def _usable(p: Detection):
     return (F.col("peer_count") >= p.minimum_peer_count) & ~F.col("corporate_action_type").isin(
         *p.exclude_corporate_action_types)
@@ -80,8 +107,6 @@ def _settle_jointly(candidates: DataFrame, period: int, keys: tuple[str, ...]) -
     before it, and accepted once nothing undecided does. Each round settles the front of
     every chain at once; rounds end when no candidate is open.
     """
-    from pyspark.sql import Window
-
     rows = checkpointed(candidates.withColumn("__state", F.lit("open")).withColumn("__day", F.datediff("date", F.lit("1970-01-01"))))
     while True:
         def earlier(unit, state):
@@ -143,7 +168,8 @@ def detect_events(candidates: DataFrame, p: Detection, value: str = "relative_ab
 
     ``keys`` are leading columns (specification, iteration) under which the detection runs apart.
     """
-    scored = trailing_volatility(candidates, p, value, tuple(k for k in keys if k in candidates.columns))
+    present = tuple(k for k in keys if k in candidates.columns)
+    scored = trailing_volatility(checked_candidates(candidates, value, present), p, value, present)
     if multiplier is not None:
         scored = scored.withColumn(keys[-1], F.explode(F.array(*[F.lit(float(m)) for m in multiplier])))
         movers = threshold_candidates(scored, p, value, F.col(keys[-1]))

@@ -145,3 +145,23 @@ def test_trailing_factor_models(spark):
     assert (last.intercept, last.beta_factor, last.observation_count) == (pytest.approx(0.01), pytest.approx(2), 3)
     with pytest.raises(ValueError):
         pr.multi_factor_residuals(df, ["f", "g"], window=2)
+
+
+@pytest.mark.parametrize("field, bad, told", [
+    (0, None, "null value"), (3, None, "null value"), (4, None, "null value"), (5, None, "null value"), (6, None, "null value"),
+    (5, float("nan"), "finite"), (5, float("-inf"), "finite"), (4, -1, "negative")])
+def test_detector_stops_at_unreadable_rows(spark, field, bad, told):
+    rows = rows_for("A", {7: 0.2})
+    rows[5] = (*rows[5][:field], bad, *rows[5][field + 1:])
+    with pytest.raises(Exception, match=told):
+        detect(spark, rows)
+
+
+def test_detector_stops_at_repeated_rows_and_wrong_columns(spark):
+    rows = rows_for("A", {7: 0.2})
+    with pytest.raises(Exception, match="second row"):
+        detect(spark, [*rows, rows[7]])
+    df = spark.createDataFrame(rows, SCHEMA)
+    for wrong in (df.drop("subsector"), df.withColumn("date", F.col("date").cast("timestamp")), df.withColumn("peer_count", F.lit("3"))):
+        with pytest.raises(ValueError):
+            ev.detect_events(wrong, P)

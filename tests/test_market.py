@@ -80,9 +80,14 @@ def test_contract_issues_collects_every_code(spark):
 def test_parameters_are_validated():
     for make in (lambda: Detection(cooldown_scope="x"), lambda: Detection(minimum_history_requirement=90), lambda: Study(primary_horizons=()),
                  lambda: Study(post_event_days=2), lambda: Universe(allowed_universe_tiers=()), lambda: Inference(confidence_level=1.0),
-                 lambda: Inference(interval_method="bootstrap", cluster_by="two_way"), lambda: Resampling(null_iterations=0)):
+                 lambda: Inference(interval_method="bootstrap", cluster_by="two_way"), lambda: Resampling(null_iterations=0),
+                 lambda: Inference(bootstrap_iterations=99), lambda: Resampling(confidence_level=0), lambda: Resampling(match_columns=("a", "a")),
+                 lambda: Study(primary_horizons=(0, 1)), lambda: Universe(), lambda: Detection(exclude_corporate_action_types=("gift",))):
         with pytest.raises(ValueError):
             make()
+    assert Detection(threshold_multiplier=0).threshold_multiplier == 0
+    with pytest.raises(ValueError, match="cooldown_period.*minimum_peer_count"):  # all faults at once
+        Detection(cooldown_period=-1, minimum_peer_count=0)
 
 
 def test_sinks(spark, tmp_path):
