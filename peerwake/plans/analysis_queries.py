@@ -166,9 +166,10 @@ def spec_sql(run: str, px: str, variation: str, name: str, notes: str) -> str:
                    extra=f", '{variation}' AS variation_type, 'estimated_exploratory' AS status, '{notes}' AS notes")
 
 
-THRESHOLD_NOTE = "minimum absolute move unchanged; all other rules frozen"
+THRESHOLD_NOTE = "only the multiple of the volatility band differs from the main run"
+MARKET_NOTE = "no input table holds a market index"
 RETURN_NOTE = "events of the main run under each return definition"
-UNIVERSE_NOTE = "uses point-in-time eligibility flags"
+UNIVERSE_NOTE = "eligibility as known on each date"
 
 
 def sigma(c):
@@ -183,7 +184,7 @@ def threshold_rows(ws):
 def return_rows(ws):
     found = dg.specification_rows(ws.return_outcomes, "return_definition", F.col("spec"), RETURN_NOTE, ["raw_returns", "semiconductor_factor_adjusted"])
     return found.unionByName(dg.unavailable_rows(ws.spark, "return_definition", "market_adjusted", (1, 3, 5, 10, 20),
-                                                 "no broad-market benchmark exists in the frozen dataset"))
+                                                 MARKET_NOTE))
 
 
 def universe_rows(ws):
@@ -209,7 +210,7 @@ def _(ws):
 
 MARKET_GAP = f"""
 UNION ALL BY NAME SELECT 'market_adjusted' AS specification, horizon, outcome, 0 AS event_count, 0 AS sample_size, 'small_sample_descriptive_only' AS sample_label,
-  'return_definition' AS variation_type, 'unavailable' AS status, 'no broad-market benchmark exists in the frozen dataset' AS notes
+  'return_definition' AS variation_type, 'unavailable' AS status, '{MARKET_NOTE}' AS notes
 FROM (SELECT unnest([1, 3, 5, 10, 20]) AS horizon) CROSS JOIN (SELECT unnest(['convergence', 'peer_catchup', 'initiator_reversal']) AS outcome)"""
 
 
