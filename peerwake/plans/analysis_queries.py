@@ -13,7 +13,7 @@ from ..operators import resample as rs
 from ..operators import similarity as sm
 from ..oracles import runs as rn
 from ..oracles.base import r
-from ..oracles.stats import LABEL, quantile_ctes, summary
+from ..oracles.stats import LABEL, normal_interval, ols_ctes, p_normal, quantile_ctes, summary
 from ..params import BROAD, CORRELATION, ECONOMIC, OUTCOMES
 from .registry import query
 from .report_queries import CELL_SQL, bootstrap_sql
@@ -134,7 +134,7 @@ def _(ws):
     return ws.characteristics
 
 
-@query("characteristic_relationships", f"""
+RELATIONSHIPS_SQL = f"""
 WITH p AS (UNPIVOT (SELECT event_id, {', '.join(f'coalesce({c}, CAST(1e300 AS DOUBLE)) AS {c}' for c in dg.PREDICTORS)} FROM ct_chars) ON {', '.join(dg.PREDICTORS)} INTO NAME predictor VALUE raw),
 v AS MATERIALIZED (SELECT l.horizon, l.outcome, p.predictor, l.event_id, l.x AS y, nullif(p.raw, 1e300) AS x FROM ct_long l JOIN p USING (event_id) WHERE l.valid),
 a AS MATERIALIZED (SELECT horizon, outcome, predictor, count(*) AS total, count(x) AS n, avg(x) AS mx, stddev_samp(x) AS sx,
@@ -147,12 +147,16 @@ c AS (SELECT v.horizon, v.outcome, v.predictor, any_value(slope) AS slope, sqrt(
 SELECT a.horizon, a.outcome, a.predictor, n AS sample_size, {r('n / total')} AS coverage, {LABEL.format(n='n', adequate='adequate_descriptive_sample')} AS sample_label,
   {r('slope')} AS coefficient_per_1sd, {r('se')} AS standard_error_hc3, {r('slope - 1.959963984540054 * se')} AS ci_lower, {r('slope + 1.959963984540054 * se')} AS ci_upper,
   CASE WHEN slope IS NOT NULL THEN 'estimated_exploratory' ELSE 'insufficient_data' END AS status
-FROM a LEFT JOIN c USING (horizon, outcome, predictor)""")
+FROM a LEFT JOIN c USING (horizon, outcome, predictor)"""
+
+
+@query("characteristic_relationships", RELATIONSHIPS_SQL)
 def _(ws):
     return dg.characteristic_relationships(ws.outcomes, ws.characteristics).drop("p_value_exploratory")
 
 
-@query("characteristic_relationships_p_values")
+@query("characteristic_relationships_p_values", RELATIONSHIPS_SQL.replace(
+    "CASE WHEN slope IS NOT NULL", f"{r(p_normal('(slope / nullif(se, 0))'))} AS p_value_exploratory, CASE WHEN slope IS NOT NULL", 1))
 def _(ws):
     return dg.characteristic_relationships(ws.outcomes, ws.characteristics)
 
@@ -293,7 +297,28 @@ def _(ws):
                                "no_future_volume_information")
 
 
-@query("mechanism_regressions")
+MECHANISM_X = {"EquipmentIndicator": "equipment", "ShockMagnitude": "shock", "SectorMomentum": "mom1", "VolumeMeasure": "measure", "EventDirection": "up",
+               "ShockMagnitudeSquared": "shock * shock"}
+
+
+def mechanism_model(px: str, names: list[str]) -> str:
+    """CTEs of one specification over the outcomes and horizons."""
+    return ols_ctes(px, "SELECT horizon, outcome AS dependent_variable, x AS y, " + ", ".join(f'{MECHANISM_X[n]} AS {n}' for n in names)
+                    + " FROM ct_long l JOIN ct_mech c USING (event_id) WHERE l.valid AND l.horizon IN (1, 5, 10)", "horizon, dependent_variable", names)
+
+
+def mechanism_terms(px: str, label: str) -> str:
+    return f"""SELECT '{label}' AS model_specification, horizon, dependent_variable, n AS sample_size, n AS event_count, {r('r2', 6)} AS r_squared, {r('adj', 6)} AS adjusted_r_squared,
+  'HC3' AS covariance_estimator, {LABEL.format(n='n', adequate='adequate_analysis_sample')} AS sample_label,
+  CASE WHEN ok THEN 'estimated_confirmatory' ELSE 'insufficient_data' END AS status, coalesce(term, 'model') AS term, {normal_interval(p='p_value_context_only')}
+FROM {px}_models LEFT JOIN {px}_terms USING (horizon, dependent_variable)"""
+
+
+MECHANISM_SQL = (f"WITH {mechanism_model('lin', me.PRIMARY)}, {mechanism_model('quad', [*me.PRIMARY, 'ShockMagnitudeSquared'])}\n"
+                 f"{mechanism_terms('lin', 'primary_linear')} UNION ALL {mechanism_terms('quad', 'targeted_shock_quadratic')}")
+
+
+@query("mechanism_regressions", MECHANISM_SQL, digits=6)
 def _(ws):
     return me.mechanism_regressions(ws.outcomes, ws.mechanism)
 
@@ -390,16 +415,36 @@ def _(ws):
     return table.where("comparison_type = 'peer_definition_level'").drop("bootstrap_replications")
 
 
-@query("regime_analysis")
+REGIME_ROWS = """
+  SELECT horizon, momentum_window, CASE WHEN m <= 0 THEN 'weak_nonpositive' ELSE 'strong_positive' END AS regime, event_id, x FROM (
+    SELECT o.event_id, horizon, 'SectorMomentum_1m' AS momentum_window, mom1 AS m, convergence AS x FROM ct_outcomes o JOIN ct_mech USING (event_id) WHERE valid AND horizon IN (1, 5, 10)
+    UNION ALL SELECT o.event_id, horizon, 'SectorMomentum_3m', mom3, convergence FROM ct_outcomes o JOIN ct_mech USING (event_id) WHERE valid AND horizon IN (1, 5, 10))
+  WHERE m IS NOT NULL"""
+REGIME_X = [("SectorMomentum_1m", "mom1"), ("SectorMomentum_3m", "mom3")]
+REGIME_MODEL = ols_ctes("reg", " UNION ALL ".join(
+    f"""SELECT horizon, '{w}' AS momentum_window, convergence AS y, {c} AS momentum, vol AS SectorVolatility, shock AS ShockMagnitude, equipment AS EquipmentIndicator,
+      up AS EventDirection, measure AS VolumeMeasure FROM ct_outcomes JOIN ct_mech USING (event_id) WHERE valid AND horizon IN (1, 5, 10)""" for w, c in REGIME_X),
+    "horizon, momentum_window", ["momentum", "SectorVolatility", *me.CONTROLS])
+REGIME_SQL = f"""
+WITH {REGIME_MODEL}
+SELECT horizon, momentum_window, 'continuous_regression' AS analysis_type, 'continuous' AS regime, CASE WHEN term = 'momentum' THEN momentum_window ELSE term END AS term,
+  n AS sample_size, n AS event_count, NULL::DOUBLE AS mean, NULL::DOUBLE AS median, {normal_interval()}, {r('r2', 6)} AS r_squared, 'estimated_confirmatory' AS status,
+  {LABEL.format(n='n', adequate='adequate_analysis_sample')} AS sample_label
+FROM reg_models JOIN reg_terms USING (horizon, momentum_window) WHERE term IN ('momentum', 'SectorVolatility')
+UNION ALL BY NAME (SELECT horizon, momentum_window, 'sign_based_regime_comparison' AS analysis_type, regime, 'convergence' AS term, sample_size, sample_size AS event_count,
+    {', '.join(f"{r(c, 6)} AS {c}" for c in ('mean', 'median', 'ci_lower', 'ci_upper'))}, 'descriptive_regime_comparison' AS status, sample_label
+  FROM ({summary(REGIME_ROWS, "horizon, momentum_window, regime", ["sample_size", "mean", "median", "ci_lower", "ci_upper", "sample_label"],
+                 adequate="adequate_analysis_sample").replace('WITH ', 'WITH RECURSIVE ', 1)}))
+UNION ALL BY NAME SELECT 'data_availability' AS analysis_type, 'not_applicable' AS momentum_window, 'not_applicable' AS regime, 'MarketVolatility' AS term, 0 AS sample_size,
+  0 AS event_count, 'small_sample_descriptive_only' AS sample_label, 'unavailable_frozen_baseline_has_no_market_return_series' AS status"""
+
+
+@query("regime_analysis", REGIME_SQL, digits=6)
 def _(ws):
     return me.regime_analysis(ws.outcomes, ws.mechanism)
 
 
-@query("regime_sign_split", summary("""
-  SELECT horizon, momentum_window, CASE WHEN m <= 0 THEN 'weak_nonpositive' ELSE 'strong_positive' END AS regime, event_id, x FROM (
-    SELECT o.event_id, horizon, 'SectorMomentum_1m' AS momentum_window, mom1 AS m, convergence AS x FROM ct_outcomes o JOIN ct_mech USING (event_id) WHERE valid AND horizon IN (1, 5, 10)
-    UNION ALL SELECT o.event_id, horizon, 'SectorMomentum_3m', mom3, convergence FROM ct_outcomes o JOIN ct_mech USING (event_id) WHERE valid AND horizon IN (1, 5, 10))
-  WHERE m IS NOT NULL""", "horizon, momentum_window, regime", ["sample_size", "mean", "median", "ci_lower", "ci_upper"]))
+@query("regime_sign_split", summary(REGIME_ROWS, "horizon, momentum_window, regime", ["sample_size", "mean", "median", "ci_lower", "ci_upper"]))
 def _(ws):
     out = me.regime_analysis(ws.outcomes, ws.mechanism).where("analysis_type = 'sign_based_regime_comparison'")
     return out.select("horizon", "momentum_window", "regime", "sample_size", "mean", "median", "ci_lower", "ci_upper")
