@@ -160,8 +160,11 @@ def _cells(outcomes: DataFrame) -> DataFrame:
 
 
 def complete_cells(outcomes: DataFrame, stats: DataFrame) -> DataFrame:
+    """``stats`` for every reported cell, with the number of valid horizons whose outcome is null."""
     out = null_safe_on(_cells(outcomes), stats, CELL_KEYS)
-    return out.withColumn("sample_size", F.coalesce("sample_size", F.lit(0)))
+    rows = with_all_direction(long_outcomes(outcomes, [*CELL, "direction"]))
+    gaps = rows.groupBy(*CELL_KEYS).agg(F.count_if(F.col("x").isNull()).alias("missing_outcome_count"))
+    return null_safe_on(out, gaps, CELL_KEYS).fillna(0, ["sample_size", "missing_outcome_count"])
 
 
 def hypothesis_tests(outcomes: DataFrame, p: Inference = Inference()) -> DataFrame:
@@ -173,7 +176,7 @@ def hypothesis_tests(outcomes: DataFrame, p: Inference = Inference()) -> DataFra
         tests = null_safe_on(tests.drop("ci_lower", "ci_upper"),
                              bootstrap_interval(values, CELL_KEYS, p).select(*CELL_KEYS, "ci_lower", "ci_upper"), CELL_KEYS)
     return null_safe_on(tests, spread, CELL_KEYS).select(
-        *CELL_KEYS, "sample_size", F.lit(0.0).alias("null_value"), "alternative", "test_statistic", "p_value", "ci_lower", "ci_upper",
+        *CELL_KEYS, "sample_size", "missing_outcome_count", F.lit(0.0).alias("null_value"), "alternative", "test_statistic", "p_value", "ci_lower", "ci_upper",
         F.try_divide("mean", F.nullif("__sd", F.lit(0.0))).alias("effect_size"), "standard_error", "degrees_of_freedom",
         F.lit(p.cluster_by or "none").alias("cluster_by"), "cluster_count")
 
@@ -184,7 +187,7 @@ def summarize_event_outcomes(outcomes: DataFrame, p: Inference = Inference()) ->
     shape = complete_cells(outcomes, distribution(values, CELL_KEYS, p.trim_proportion))
     tests = hypothesis_tests(outcomes, p)
     summary = null_safe_on(
-        shape.select(*CELL_KEYS, "sample_size", "mean", "median", "standard_deviation", "trimmed_mean", "proportion_positive"),
+        shape.select(*CELL_KEYS, "sample_size", "missing_outcome_count", "mean", "median", "standard_deviation", "trimmed_mean", "proportion_positive"),
         tests.select(*CELL_KEYS, "standard_error", "ci_lower", "ci_upper", "p_value"), CELL_KEYS)
     if p.interval_method == "bootstrap":
         summary = null_safe_on(summary, bootstrap_interval(values, CELL_KEYS, p).select(*CELL_KEYS, "bootstrap_standard_error"), CELL_KEYS)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import shared_dir
 from ..functions.exprs import union_all
 from ..operators import events as ev
 from ..operators import panel as pn
@@ -27,12 +30,12 @@ EVENT_SQL = f"""event_id, date, security_id, direction, {r('relative_return')} A
 @query("csv_market_source", """
 SELECT date, ticker, adj_close AS adjusted_close, close, volume FROM ct_prices""")
 def _(ws: Workspace):
-    # Round trip through CSV text, the reader's own format, with a rename map on the way in.
-    lines = ws.prices.select(F.to_csv(F.struct(F.date_format("date", "yyyy-MM-dd").alias("Date"), "ticker", "adj_close",
-                                               "close", "volume")).alias("line"))
-    parsed = lines.select(F.from_csv("line", "Date string, Symbol string, `Adj Close` double, Close double, Volume double").alias("r"))
-    renamed = parsed.select("r.*").withColumnsRenamed(
-        {"Date": "date", "Symbol": "ticker", "Adj Close": "adjusted_close", "Close": "close", "Volume": "volume"})
+    path = f"{shared_dir(ws.spark)}/{ws.spark.sparkContext.applicationId}/vendor-csv-{uuid.uuid4().hex}"
+    vendor = ws.prices.select(F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("ticker").alias("Symbol"), F.col("adj_close").alias("Adj Close"),
+                              F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    market.write_csv_tables({"prices": vendor}, path)
+    renamed = market.read_csv(ws.spark, f"{path}/prices", "Date string, Symbol string, `Adj Close` double, Close double, Volume double",
+                              {"Date": "date", "Symbol": "ticker", "Adj Close": "adjusted_close", "Close": "close", "Volume": "volume"})
     return renamed.withColumn("date", market.parse_date(F.col("date")))
 
 

@@ -86,6 +86,11 @@ def _(ws):
     return inf.distribution(inf.cell_values(ws.outcomes), inf.CELL_KEYS)
 
 
+#: Valid horizons without a value, as a scalar over (horizon, direction, outcome) of the row at hand.
+MISSING = ("(SELECT count(*) FROM ct_long g WHERE g.valid AND g.x IS NULL AND g.horizon = {cell}.horizon AND g.outcome = {cell}.outcome"
+           " AND {cell}.direction IN ('all', g.direction))")
+
+
 def inference_sql(errors: str, df: str, clusters: str, tests: bool = False, extra: str = "") -> str:
     """Mean inference from a relation e(horizon, direction, outcome, n, m, sd, se, df, g)."""
     t = "m / nullif(se, 0)"
@@ -95,7 +100,7 @@ def inference_sql(errors: str, df: str, clusters: str, tests: bool = False, extr
       {r(p)} AS p_value, {r('m - q * se')} AS ci_lower, {r('m + q * se')} AS ci_upper, e.df AS degrees_of_freedom, g AS cluster_count,
       {alt} AS alternative"""
     if tests:
-        columns = f"""{CELL_SQL}, direction, outcome, n AS sample_size, CAST(0 AS DOUBLE) AS null_value, {alt} AS alternative,
+        columns = f"""{CELL_SQL}, direction, outcome, n AS sample_size, {MISSING.format(cell='e')} AS missing_outcome_count, CAST(0 AS DOUBLE) AS null_value, {alt} AS alternative,
       {r(t, 6)} AS test_statistic, {r(p)} AS p_value, {r('m - q * se')} AS ci_lower, {r('m + q * se')} AS ci_upper,
       {r('m / nullif(sd, 0)')} AS effect_size, {r('se')} AS standard_error, e.df AS degrees_of_freedom, 'firm' AS cluster_by, g AS cluster_count"""
     return f"""
@@ -197,7 +202,7 @@ trimmed AS MATERIALIZED (SELECT horizon, direction, outcome, avg(x) AS tm FROM r
             WHERE k > floor(0.1 * n) AND k <= n - floor(0.1 * n) GROUP BY ALL),
 {FIRM_ERRORS},
 {quantile_ctes('SELECT df FROM e')}
-SELECT {CELL_SQL}, direction, outcome, n AS sample_size, {r('m')} AS mean, {r('med')} AS median, {r('sd')} AS standard_deviation,
+SELECT {CELL_SQL}, direction, outcome, n AS sample_size, {MISSING.format(cell='e')} AS missing_outcome_count, {r('m')} AS mean, {r('med')} AS median, {r('sd')} AS standard_deviation,
   {r('tm')} AS trimmed_mean, {r('pos')} AS proportion_positive, {r('se')} AS standard_error, {r('m - q * se')} AS ci_lower, {r('m + q * se')} AS ci_upper,
   {r(f"CASE WHEN outcome = 'convergence' THEN {p_greater('m / nullif(se, 0)', 'e.df')} ELSE {p_two_sided('m / nullif(se, 0)', 'e.df')} END")} AS p_value,
   CAST(NULL AS DOUBLE) AS bootstrap_standard_error, CAST(0.95 AS DOUBLE) AS confidence_level, 'analytical' AS interval_method
