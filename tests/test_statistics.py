@@ -180,3 +180,14 @@ def test_pairwise_correlation_with_gaps():
             both = (ma[i] * mb[j]).astype(bool)
             assert n[i, j] == both.sum()
             assert np.isnan(corr[i, j]) if j == 2 else corr[i, j] == pytest.approx(np.corrcoef(a[i, both], b[j, both])[0, 1])
+
+
+def test_valid_horizons_without_a_value_are_counted(spark):
+    rows = [(5, "r", "p", f"e{i}", f"s{i}", day(i), d, ok, c, None, 0.1) for i, (d, ok, c) in enumerate(
+        [("positive", True, None), ("positive", True, 0.2), ("negative", True, None), ("negative", False, None)])]
+    outcomes = spark.createDataFrame(rows, "horizon int, return_specification string, peer_definition string, event_id string, security_id string, "
+                                           "event_date date, direction string, valid_horizon boolean, convergence double, peer_catchup double, "
+                                           "initiator_reversal double")
+    got = {(r.outcome, r.direction): (r.sample_size, r.missing_outcome_count) for r in inf.hypothesis_tests(outcomes).collect()}
+    assert got["convergence", "all"] == (1, 2) and got["convergence", "negative"] == (0, 1)
+    assert got["peer_catchup", "all"] == (0, 3) and got["initiator_reversal", "positive"] == (2, 0)
