@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checkpoints import staged
+from . import near_copies
 from .common import arrow_map, small_batches
 from .components import components
 
@@ -151,13 +152,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without later near copies: of each component the least doc_id stays, once.
+    """Documents without later near copies (``near_copies``): of each group one row stays, of the least doc_id.
 
-    Rows without doc_id can't be named, so they all stay; of rows that repeat a doc_id one stays,
-    the least by all columns' hash.
+    Rows without doc_id come last in their group and stay if it has no other. Of groups that
+    would each keep a row of one doc_id, one keeps it.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("__row")
-    rest = docs.where("doc_id IS NOT NULL").withColumn("__row", F.xxhash64(*docs.columns)).join(kept, "doc_id", "left_semi")
-    first = rest.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
-    return first.unionAll(docs.where("doc_id IS NULL"))
+    own = docs.withColumns({"__node": near_copies.node_of(F.col("text")), "__row": F.xxhash64(*docs.columns)})
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__node", "__row"))
+    nodes = staged(own.groupBy(F.col("__node").alias("node")).agg(first.alias("first")), "texts")
+    grouped = nodes.join(near_copies.groups(docs), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.*")
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__node"))).orderBy("__row")
+    kept = staged(grouped.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("__node", "__row"), "survivors")
+    same = Window.partitionBy("__node", "__row").orderBy(F.lit(0))
+    return own.join(kept, ["__node", "__row"], "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)

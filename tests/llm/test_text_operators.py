@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from peerwake.llm import (bpe, chat, decontaminate, langid, learning, licenses, range_coder, rules, simhash, surrogates,
+from peerwake.llm import (bpe, chat, decontaminate, langid, learning, licenses, near_copies, range_coder, rules, simhash, surrogates,
                           toxicity)
 from peerwake.llm.components import components
 
@@ -122,6 +122,62 @@ def test_simhash_edges(spark, edges):
     assert simhash.near_duplicates(none_of(edges)).count() == 0
 
 
+# ---- near copies of the pipeline
+
+def five_word_similarity(a, b):
+    def shingles(text):
+        words = text.encode().lower().split()
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)}
+    x, y = shingles(a or ""), shingles(b or "")
+    return len(x & y) / len(x | y)
+
+
+def near_groups(texts, similarity=0.8):
+    """Sets of two or more texts that links of brute force connect."""
+    group = {t: {t} for t in texts}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if five_word_similarity(a, b) >= similarity and group[a] is not group[b]:
+                group[a] |= group[b]
+                for t in group[b]:
+                    group[t] = group[a]
+    return {frozenset(g) for g in group.values() if len(g) > 1}
+
+
+def edited_copies(seed, bases, copies, words):
+    """Texts of seldom words, each with copies in which 0 to 8 words are others; so similarities lie around the limit."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(bases):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+        for _ in range(copies):
+            new = list(base)
+            for at in rng.integers(0, words, int(rng.integers(0, 9))):
+                new[at] = f"x{rng.integers(0, 10**6)}"
+            out.append(" ".join(new))
+    return list(dict.fromkeys(out))
+
+
+@pytest.mark.parametrize("crowd, partners", [(16, 64), (2, 64), (2, 0)])
+def test_near_copy_groups_equal_brute_force(spark, docs, crowd, partners):
+    texts = list(dict.fromkeys([*(r.text for r in docs.select("text").collect()), *edited_copies(5, 6, 30, 150)]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", near_copies.node_of(F.col("text")))
+    found = {}
+    for r in table.join(near_copies.groups(table, crowd, partners), "node").collect():
+        found.setdefault(r.component, set()).add(r.text)
+    want = near_groups(texts)
+    assert len(want) > 6 and {frozenset(g) for g in found.values()} == want
+
+
+def test_keep_one_drops_edited_copies_and_copies_without_id(spark):
+    base = [f"word{i}" for i in range(120)]
+    edited = " ".join([*base[:60], "other", *base[61:]])
+    assert five_word_similarity(" ".join(base), edited) >= 0.8
+    rows = [(7, " ".join(base)), (3, edited), (None, edited), (None, "alone here"), (None, "alone here"), (None, "Alone  here"), (9, "alone there")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower().split()[0]) for r in kept) == [(0, "alone"), (3, "word0"), (9, "alone")]
+
+
 # ---- byte-level BPE
 
 def plain_encoding():
