@@ -9,7 +9,9 @@ right check digit, IBANs country and check digits, names the gender of their tit
 
 Distinctness is checked over the whole corpus: no two entities of a type get one surrogate, and no
 surrogate is an entity that occurs. Losers draw again until none is left; what a round keeps is
-written before the next. Entities and texts meet by joins, so a hot entity or text is split by the
+written before the next. Every ``WIDEN`` rounds surrogates of secrets, addresses and names grow by a character
+or syllable, so mostly punctuated values find free ones too; kinds of fixed form have 10^8 values or more.
+A run that finds none in ``ROUNDS`` rounds fails. A row of punctuation isn't a secret. Entities and texts meet by joins, so a hot entity or text is split by the
 engine; only texts that hold candidates are shuffled, copies of a text once.
 
 Defined results: null texts stay null, texts without entities stay as they are; rows and all
@@ -31,6 +33,8 @@ from ..functions.checkpoints import staged
 from .common import arrow_map, small_batches
 
 KEY = b"surrogate-key-of-the-test-tables"
+#: Rounds of draws after which free text grows by a character or syllable, and rounds after which ``assign`` gives up.
+WIDEN, ROUNDS = 4, 200
 #: Titles and the gender they tell (fixed values).
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m",
           "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Doña": "f",
@@ -42,7 +46,7 @@ _REST = r"(?:[^\W\d_]|['’-](?=[^\W\d_]))"
 CANDIDATE = r"[0-9@]|(?i:token|secret|passw|key)|\b(?:" + _TITLE + r")\b"
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}(?![A-Za-z0-9-]))"
-    r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s{0,4}[=:]\s{0,4}[\"']?)(?P<secret>[A-Za-z0-9_\-+/=.]{8,}+)"
+    r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s{0,4}[=:]\s{0,4}[\"']?)(?P<secret>(?=[_\-+/=.]*+[A-Za-z0-9])[A-Za-z0-9_\-+/=.]{8,}+)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\5\d{4}\5\d{1,7})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -103,7 +107,9 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
-def _like(value: str, draw: _Draw) -> str:
+def _like(value: str, draw: _Draw, more: int = 0) -> str:
+    """``value`` with other letters and digits, and ``more`` characters behind it."""
+    value += "a" * more
     hexadecimal = len(value) >= 16 and not value.isdigit() and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
     letters = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
     either = "0123456789" + letters
@@ -119,7 +125,7 @@ def surrogate(kind: str, value: str, gender: str, attempt: int, key: bytes = KEY
     if kind == "email":
         name, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_like(name, draw)}@{_like(host, draw)}.{top}"
+        return f"{_like(name, draw, attempt // WIDEN)}@{_like(host, draw)}.{top}"
     if kind == "phone":
         country, local = value[:-10], value[-10:]
         return country + "".join(draw.pick("23456789") if i in (0, 3) else draw.pick("0123456789") for i in range(len(local)))
@@ -137,9 +143,9 @@ def surrogate(kind: str, value: str, gender: str, attempt: int, key: bytes = KEY
         script = "cyrillic" if re.search("[а-я]", value) else "greek" if re.search("[α-ω]", value) else "latin"
         onsets, vowels, endings = SCRIPTS[script]
         stem = lambda n: "".join(draw.pick(onsets) + draw.pick(vowels) for _ in range(n))
-        parts = [stem(3 + attempt // 4) for _ in value.split(" ")]
+        parts = [stem(3 + attempt // WIDEN) for _ in value.split(" ")]
         return " ".join([parts[0] + draw.pick(onsets) + endings[gender], *parts[1:]])
-    return _like(value, draw)
+    return _like(value, draw, attempt // WIDEN)
 
 
 def render(kind: str, surface: str, value: str) -> str:
@@ -191,6 +197,8 @@ def assign(entities: DataFrame, key: bytes = KEY, draw=_drawn) -> DataFrame:
         if open_.isEmpty():
             return done.select("kind", "value", "surrogate")
         taken, attempt = real.unionByName(done.select("kind", "surrogate")), attempt + 1
+        if attempt == ROUNDS:
+            raise RuntimeError(f"no free surrogates after {ROUNDS} rounds: {open_.select('kind').distinct().limit(9).collect()}")
 
 
 def _replaced(found: DataFrame, names: list[str], schema: T.StructType) -> DataFrame:

@@ -298,6 +298,25 @@ def test_collisions_draw_again(spark):
     assert sorted(table) == list("01234") and len(set(table.values()) - set("01234")) == 5 and calls[0] == 0
 
 
+def test_blank_forms_and_punctuated_values_come_to_an_end(spark):
+    """Blanks of a form aren't secrets; values with one or no letter or digit get surrogates although all of their form are taken."""
+    forms = ["Name:\nPassword: ________\n\nPassword: ________\n", "token: ..........", "password:==========", "Password:\n\n________"]
+    rows = forms + [f"password: _______{d}" for d in range(10)] + ["write to __@-.de", "write to -_@-.de"]
+    docs_ = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in surrogates.pseudonymize(docs_).collect()}
+    assert all(found[i].text == t and found[i].n_entities == 0 for i, t in enumerate(forms))
+    new = [found[i].text for i in range(len(forms), len(rows))]
+    assert len(set(new)) == len(new) and not set(new) & set(rows)
+    assert [[x[2] for x in surrogates.find(t)] for t in new] == [["secret"]] * 10 + [["email"]] * 2
+
+
+def test_surrogates_that_run_out_stop_with_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 2)
+    entities = spark.createDataFrame([("ip", "x", "")], "kind string, value string, gender string")
+    with pytest.raises(RuntimeError, match="no free surrogates"):
+        surrogates.assign(entities, draw=lambda open_, attempt, key: open_.withColumn("surrogate", F.col("value")))
+
+
 def test_surrogate_edges(edges):
     found = surrogates.pseudonymize(edges.withColumn("text", F.when(F.col("doc_id") == 5, "write to me@here.org").otherwise(F.col("text"))))
     rows = found.collect()
