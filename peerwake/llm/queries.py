@@ -1,10 +1,11 @@
-"""The ten operators as named queries over the test tables, with SQL where SQL can express them."""
+"""The operators as named queries over the test tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, range_coder, rules, simhash, surrogates, toxicity
+from . import (bpe, chat, collocations, decontaminate, exact_dedup, langid, licenses, range_coder, rules, simhash, spelling, surrogates,
+               toxicity)
 from .common import LOWER, UPPER, table
 
 
@@ -50,9 +51,22 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.memberships(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_simhash, op4_token_files, op5_perspectives, op6_byte_bpe, op7_surrogates,
-                                    op8_license_scan, op9_decontamination, op10_language_id)}
+                                    op8_license_scan, op9_decontamination, op10_language_id, op11_exact_dedup, op12_collocations,
+                                    op13_spelling_variants)}
 
 
 def _rules_sql() -> str:
@@ -113,6 +127,28 @@ item AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS liste
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN item USING (rid)"""
 
+EXACT_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS g FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY g) AS group_size, row_number() OVER w = 1 AS kept, sha256(g) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY g ORDER BY length(text) DESC, doc_id NULLS LAST)"""
+
+COLLOCATIONS_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, list_slice(ws, i, i + k - 1) AS g, count(*) AS f
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 4) r(k) WHERE len(ws) >= k) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 10),
+gone AS (SELECT DISTINCT s.lang, s.g FROM (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS s FROM c WHERE k = 3) l JOIN c s ON s.lang = l.lang AND s.g = l.s WHERE 100 * l.f >= 50 * s.f),
+cut AS (SELECT c.lang, c.g, c.f AS a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+        FROM c, range(1, 3) q(j), g x, g y WHERE j < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.g = c.g[1:j] AND y.g = c.g[j + 1:c.k]),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS o FROM cut),
+kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM best WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = best.lang AND gone.g = best.g)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000"""
+
 
 def oracles() -> dict[str, str]:
-    return {"op2_quality_rules": _rules_sql(), "op5_perspectives": CHAT_SQL, "op9_decontamination": DECONTAMINATION_SQL}
+    return {"op2_quality_rules": _rules_sql(), "op5_perspectives": CHAT_SQL, "op9_decontamination": DECONTAMINATION_SQL,
+            "op11_exact_dedup": EXACT_DEDUP_SQL, "op12_collocations": COLLOCATIONS_SQL}
