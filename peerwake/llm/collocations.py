@@ -46,7 +46,7 @@ _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abc
 
 def tokens(text: str | None) -> list[bytes]:
     """Words, with a full stop after each piece."""
-    return ((text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).replace(b".", b" . ") + b" .").split(b" ")
+    return ((text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).replace(b".", b" . ") + b" .").split()
 
 
 def _symbol(lang: str, word: bytes, seed: int) -> int:
@@ -64,7 +64,7 @@ def words(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
         def flush():
             for lang, counts in held.items():
-                counts.pop(b"", None), counts.pop(b".", None)
+                counts.pop(b".", None)
                 symbols = np.array([_symbol(lang, w, seed) for w in counts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()),
                                                   pa.array(symbols), pa.array(counts.values(), pa.int64())], names=["lang", "word", "symbol", "n"])
@@ -82,19 +82,22 @@ def words(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return counted.groupBy("lang", "word", "symbol").agg(F.sum("n").alias("n"))
 
 
-class _Symbols(dict):
-    """The symbol of each word of one language; emptied when it has grown to ``HELD`` / 8 words."""
+class _Symbols:
+    """The symbols of the words of each language, learned a batch at a time; emptied when they are ``HELD`` / 4 words."""
 
-    def __init__(self, lang: str, frequent: bloom.Keys, seed: int):
-        super().__init__()
-        self.lang, self.frequent, self.seed = lang, frequent, seed
+    def __init__(self, frequent: bloom.Keys, seed: int):
+        self.frequent, self.seed, self.known, self.size = frequent, seed, {}, 0
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD >> 3:
-            self.clear()
-        s = END if word == b"." else _symbol(self.lang, word, self.seed)
-        found = self[word] = s if s == END or self.frequent.passes(np.array([s], np.uint64))[0] else RARE
-        return found
+    def of(self, lang: str, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Symbols of each text, with two ENDs behind it."""
+        if self.size > HELD >> 2:
+            self.known, self.size = {}, 0
+        known = self.known.setdefault(lang, {b".": END})
+        if new := list(set(itertools.chain.from_iterable(texts)).difference(known)):
+            symbols = np.array([_symbol(lang, w, self.seed) for w in new], np.uint64)
+            known.update(zip(new, np.where(self.frequent.passes(symbols), symbols, np.uint64(RARE)).tolist(), strict=True))
+            self.size += len(new)
+        return [np.fromiter(itertools.chain(map(known.__getitem__, found), (END, END)), np.uint64, len(found) + 2) for found in texts]
 
 
 def _summed(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
@@ -112,17 +115,14 @@ def edges(docs: DataFrame, frequent: DataFrame, blocks: int, seed: int = SEED) -
     shared = docs.sparkSession.sparkContext.broadcast([(r["block"], np.array(r["bits"], np.int64)) for r in frequent.toLocalIterator()])
 
     def run(batches):
-        known, held, size, tables = bloom.Keys(shared.value, blocks), [], 0, {}
+        symbols, held, size = _Symbols(bloom.Keys(shared.value, blocks), seed), [], 0
         for batch in small_batches(batches):
-            langs = batch.column("lang").to_pylist()
-            for lang, text in zip(langs, batch.column("text").to_pylist(), strict=True):
-                if lang not in tables:
-                    tables[lang] = _Symbols(lang, known, seed)
-                found = [w for w in tokens(text) if w]
-                ids = np.zeros(len(found) + 2, np.uint64)
-                ids[:-2] = np.fromiter(map(tables[lang].__getitem__, found), np.uint64, len(found))
-                held.append(ids)
-                size += len(found)
+            texts: dict[str, list] = defaultdict(list)
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                texts[lang].append(tokens(text))
+            for lang, found in texts.items():
+                held += symbols.of(lang, found)
+                size += sum(map(len, found))
             if size >= HELD:
                 yield _cut(held)
                 held, size = [], 0
@@ -144,7 +144,11 @@ def _cut(held: list[np.ndarray]) -> pa.RecordBatch:
 
 def graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, symbol, n) and the counts of everything that occurs ``LEAST`` times: rows x, y, z, n, with
-    null z for a two-word node and null y for a word."""
+    null z for a two-word node and null y for a word.
+
+    All three levels come from one shuffle of edges. END and RARE are filtered from what was written, since a
+    filter on symbols would move below that shuffle and make it three.
+    """
     for seed in itertools.count(SEED):
         vocabulary = staged(words(docs, seed), "words")
         twice = vocabulary.groupBy("symbol").agg(F.count("*").alias("k")).where(F.col("k") > 1)
@@ -153,13 +157,11 @@ def graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = vocabulary.where(F.col("n") >= LEAST)
     blocks = bloom.blocks_for(often.count())
     summed = edges(docs, staged(bloom.build(often.select("symbol"), blocks), "frequent"), blocks, seed)
-    symbol = lambda *names: F.expr(" AND ".join(f"{c} NOT IN ({END}, {RARE})" for c in names))
-    none = F.lit(None).cast("long")
-    three = summed.where(symbol("y", "z")).where(F.col("n") >= LEAST)
-    two = summed.groupBy("x", "y").agg(F.sum("n").alias("n")).where(symbol("y")).where(F.col("n") >= LEAST)
-    one = summed.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    counts = three.unionByName(two.select("x", "y", none.alias("z"), "n")).unionByName(one.select("x", none.alias("y"), none.alias("z"), "n"))
-    return vocabulary, staged(counts, "graph")
+    none, many = F.lit(None).cast("long"), F.col("n") >= LEAST
+    two = summed.groupBy("x", "y").agg(F.sum("n").alias("n")).where(many).select("x", "y", none.alias("z"), "n")
+    one = summed.groupBy("x").agg(F.sum("n").alias("n")).where(many).select("x", none.alias("y"), none.alias("z"), "n")
+    counts = staged(summed.where(many).unionByName(two).unionByName(one), "graph")
+    return vocabulary, counts.where(f"(y IS NULL OR y NOT IN ({END}, {RARE})) AND (z IS NULL OR z NOT IN ({END}, {RARE}))")
 
 
 def paths(counts: DataFrame) -> tuple[DataFrame, DataFrame]:

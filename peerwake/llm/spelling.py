@@ -24,28 +24,57 @@ count again. Without words there are no rows. Further columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import staged
-from .common import arrow_map, ascii_lower, pieces
+from .common import LOWER, UPPER, arrow_map, give_back, small_batches
 
 LETTERS, LENGTH, COUNT, TIMES, ONE_IN, ALPHABET = r"A-Za-zÀ-ÿ", 7, 2, 10, 31, 90
-PREFIX, GRAM = 3, 2
+PREFIX, GRAM, HELD = 3, 2, 1 << 19
+_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """(word, n): the distinct words of at least ``LENGTH`` letters with ``COUNT`` occurrences, after the keyed deletions."""
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-                       F.explode(pieces(ascii_lower(F.col("text")), rf"[^{LETTERS}]+")).alias("run")).where(F.length("run") >= LENGTH)
-    h = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    typed = h.select(F.when(F.col("h") % ONE_IN == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= LENGTH)
-    return typed.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= COUNT)
+    """(word, n): the distinct words of at least ``LENGTH`` letters with ``COUNT`` occurrences, after the keyed deletions.
+
+    A task sums its words before they are shuffled, and hands on what it holds at ``HELD`` words.
+    """
+    runs = re.compile(rf"[{LETTERS}]{{{LENGTH},}}")
+
+    def typed(name: str, run: str) -> str:
+        h = zlib.crc32(f"{name}:{run}".encode())
+        return run if h % ONE_IN else run[:h % len(run)] + run[h % len(run) + 1:]
+
+    def run(batches):
+        held: Counter = Counter()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            held.clear()
+            return out
+
+        for batch in small_batches(batches):
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for found, n in Counter(runs.findall((text or "").translate(_LOWER))).items():
+                    word = typed(name, found)
+                    if len(word) >= LENGTH:
+                        held[word] += n
+            if len(held) > HELD:
+                yield flush()
+        yield flush()
+        give_back()
+
+    named = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "text")
+    counted = arrow_map(named, run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COUNT)
 
 
 def gram_order(vocabulary: DataFrame) -> dict[str, int]:
@@ -71,44 +100,50 @@ def pivots(places: list[tuple[int, int]]) -> tuple[int, int]:
 
 
 def _key(side: int, half: int, size: int, head: str, part: str) -> int:
-    return xxhash.xxh64_intdigest(f"{head}|{part}".encode(), size << 2 | side << 1 | half) - (1 << 63)
+    return xxhash.xxh64_intdigest(f"{head}|{part}", size << 2 | side << 1 | half) - (1 << 63)
 
 
-def _sides(word: str, first: int, second: int):
-    """(side, head, tail): what is unchanged up to the gram's end, and the rest; for the right side read backwards."""
-    back = word[::-1]
-    cut = len(word) - second
-    return (0, word[:first + GRAM], word[first + GRAM:]), (1, back[:cut], back[cut:])
-
-
-def keys_of(word: str, order: dict[str, int]) -> tuple[list[int], list[int], int]:
-    """Keys of the word's pivots, keys of its prefix, and the rank that its prefix reaches."""
+def _places(word: str, order: dict[str, int]) -> tuple[list[tuple[int, int]], int]:
+    """(place, rank) of the prefix's bigrams by place, and the rank that it reaches."""
     ranks = [order[word[i:i + GRAM]] for i in range(len(word) - GRAM + 1)]
     reach = sorted(ranks)[PREFIX - 1]
-    places = [(i, r) for i, r in enumerate(ranks) if r <= reach]
-    own, prefix = [], []
-    for side, head, tail in _sides(word, *pivots(places)):
-        for size in range(max(len(tail) - 1, 0), len(tail) + 2):  # of the other word's tail
+    return [(i, r) for i, r in enumerate(ranks) if r <= reach], reach
+
+
+def pivot_keys(word: str, places: list[tuple[int, int]]) -> set[int]:
+    """Keys of the first pivot and what is before it, and of the second and what is behind it (read backwards)."""
+    first, second = pivots(places)
+    back, cut, out = word[::-1], len(word) - second, set()
+    for side, head, tail in ((0, word[:first + GRAM], word[first + GRAM:]), (1, back[:cut], back[cut:])):
+        n = len(tail)
+        for size in (n - 1, n, n + 1) if n else (0, 1):  # of the other word's tail
             half = size // 2
-            if half <= len(tail):
-                own.append(_key(side, 0, size, head, tail[:half]))
-            if size - half <= len(tail):
-                own.append(_key(side, 1, size, head, tail[len(tail) - (size - half):]))
+            if half <= n:
+                out.add(_key(side, 0, size, head, tail[:half]))
+            if size - half <= n:
+                out.add(_key(side, 1, size, head, tail[n - size + half:]))
+    return out
+
+
+def prefix_keys(word: str, places: list[tuple[int, int]]) -> set[int]:
+    """Keys of each bigram of the prefix, from both sides."""
+    back, length, out = word[::-1], len(word), set()
     for i, _ in places:
-        for side, head, tail in _sides(word, i, i):
-            half = len(tail) // 2
-            prefix += [_key(side, 0, len(tail), head, tail[:half]), _key(side, 1, len(tail), head, tail[half:])]
-    return own, prefix, reach
+        a, b = i + GRAM, length - i
+        m, n = (length - a) // 2, (length - b) // 2
+        out |= {_key(0, 0, length - a, word[:a], word[a:a + m]), _key(0, 1, length - a, word[:a], word[a + m:]),
+                _key(1, 0, length - b, back[:b], back[b:b + n]), _key(1, 1, length - b, back[:b], back[b + n:])}
+    return out
 
 
-def _keyed(vocabulary: DataFrame, shared, pivot: bool) -> DataFrame:
-    """(word, n, reach, key) for each key of each word's pivots, or of its prefix."""
+def _keyed(vocabulary: DataFrame, shared, make) -> DataFrame:
+    """(word, n, reach, key) for each key that ``make`` gives a word."""
     def run(batches):
         for batch in batches:
-            made = [keys_of(w, shared.value) for w in batch.column("word").to_pylist()]
-            keys = [list(dict.fromkeys(m[0 if pivot else 1])) for m in made]
-            row = pa.array([i for i, k in enumerate(keys) for _ in k], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(row), batch.column("n").take(row), pa.array([m[2] for m in made], pa.int32()).take(row),
+            placed = [(w, *_places(w, shared.value)) for w in batch.column("word").to_pylist()]
+            keys = [make(w, places) for w, places, _ in placed]
+            row = pa.array(np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(row), batch.column("n").take(row), pa.array([p[2] for p in placed], pa.int32()).take(row),
                                               pa.array([x for k in keys for x in k], pa.int64())], names=["word", "n", "reach", "key"])
 
     return arrow_map(vocabulary.select("word", "n"), run, "word string, n long, reach int, key long")
@@ -117,7 +152,7 @@ def _keyed(vocabulary: DataFrame, shared, pivot: bool) -> DataFrame:
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(word, near, near_n): every pair of words at distance one, both ways round. ``vocabulary``: distinct words."""
     shared = vocabulary.sparkSession.sparkContext.broadcast(gram_order(vocabulary))
-    x, y = _keyed(vocabulary, shared, True).alias("x"), _keyed(vocabulary, shared, False).alias("y")
+    x, y = _keyed(vocabulary, shared, pivot_keys).alias("x"), _keyed(vocabulary, shared, prefix_keys).alias("y")
     like = "x.key = y.key AND x.reach <= y.reach AND x.word <> y.word AND levenshtein(x.word, y.word, 1) = 1"
     met = x.join(y, F.expr(like)).select("x.word", "x.n", F.col("y.word").alias("near"), F.col("y.n").alias("near_n"))
     both = F.explode(F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
