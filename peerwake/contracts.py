@@ -126,11 +126,3 @@ def require(issues: DataFrame) -> None:
     found = issues.collect()
     if found:
         raise ContractError([r.asDict() for r in found])
-
-
-def gate_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Eager uniqueness check for the "one" side of a join; returns the frame unchanged."""
-    twin = df.groupBy(*keys).count().where("count > 1").limit(1).count()
-    if twin:
-        raise ValueError(f"{what}: duplicate values of {', '.join(keys)}")
-    return df

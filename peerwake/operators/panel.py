@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checked import once_by, once_by_date
 from ..functions.exprs import joined_labels, null_if_empty, trailing, when_label
 from ..params import Universe
 
@@ -15,19 +16,25 @@ def security_id_from_ticker(ticker: Column) -> Column:
 
 
 def build_security_master(classification: DataFrame) -> DataFrame:
-    """Classification rows with internal ids and the fields later stages expect."""
+    """Classification rows with internal ids and the fields later stages expect.
+
+    Two rows of a ticker, and two tickers that give one id, stop the run that reads them.
+    """
     market = F.col("exchange_or_market")
     kind = F.when(market.rlike(r"(?i)\bADR\b"), F.lit("adr")).otherwise(F.lit("common_stock"))
-    return classification.select(
+    master = once_by(classification, ["ticker"], "security master").select(
         security_id_from_ticker(F.col("ticker")).alias("security_id"), "ticker", "company_name",
         "exchange_or_market", "subsector", "semiconductor_role", "universe_tier", "review_flag",
         market.alias("exchange"), kind.alias("security_type"), F.lit("Semiconductor ecosystem").alias("sector"),
         F.col("subsector").alias("sub_industry"))
+    return once_by(master, ["security_id"], "security master")
 
 
 def classification_view(classification: DataFrame, master: DataFrame) -> DataFrame:
+    """Labels by security; a ticker that either side holds twice stops the run."""
     labels = classification.select("ticker", "company_name", "subsector", F.col("notes").alias("classification_notes"))
-    return (master.select("security_id", "ticker").join(labels, "ticker")
+    ids = once_by(master.select("security_id", "ticker"), ["ticker"], "classification view")
+    return (ids.join(once_by(labels, ["ticker"], "classification view"), "ticker")
             .select("security_id", "ticker", "company_name", "subsector", "classification_notes"))
 
 
@@ -146,10 +153,13 @@ def assemble_daily_panel(prices: DataFrame, master: DataFrame, base: Universe, e
     """Observed rows with labels, both eligibility flags and the extreme-return flag.
 
     Only observed rows are kept, so the verdicts are computed on the price rows
-    themselves; the full grid is needed only for the membership dataset.
+    themselves; the full grid is needed only for the membership dataset. A second price row of a (security, date)
+    and a second label row of a security stop the run.
     """
     labels = master.select("security_id", "ticker", "subsector", "universe_tier", "exchange", "exchange_or_market",
                            "security_type").withColumn("is_semiconductor", F.lit(True))
+    labels = once_by(labels, ["security_id", "ticker"], "security master")
+    prices = once_by_date(prices, "security_id", "date", "daily prices")
     rows = market_features(simple_returns(prices), base.average_dollar_volume_window_days)
     rows = rows.join(labels, ["security_id", "ticker"], "left")
     inside = F.lit(True)

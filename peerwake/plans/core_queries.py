@@ -15,7 +15,8 @@ from ..operators import reports as rp
 from ..operators import study as st
 from ..oracles.base import r
 from ..params import BROAD, ECONOMIC, Detection
-from ..sources import market
+from ..sources import driver_tables, market
+from ..sources.pluggable import ParquetGroups
 from .registry import query
 from .workspace import ADJUSTED, BASE_UNIVERSE, DETECTION, EXTENDED_UNIVERSE, STUDY, Workspace
 
@@ -120,6 +121,22 @@ def _(ws):
     return market.build_daily_panel(raw, ws.master)
 
 
+@query("ingest_market_data", f"""
+SELECT date, security_id, adj_close AS adjusted_close, close, volume, {r('ret')} AS "return" FROM ct_returns""")
+def _(ws):
+    # The order lines come through a plugged-in source, row group by row group, and dates in mixed notations.
+    kinds = {c: t for c, t in driver_tables.table(ws.spark, ws.sf_dir, "lineitem").dtypes if c in ("l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax")}
+    source = ParquetGroups([f"{ws.sf_dir}/lineitem.parquet"], kinds)
+
+    def prices(lines):
+        p = market.standardize_prices(driver_tables.vendor_prices(ws.spark, ws.sf_dir, lines))
+        kind = F.pmod(F.xxhash64("date"), F.lit(5))
+        forms = ("MMMM d, yyyy", "d MMM yyyy", "EEE, dd-MMM-yyyy", "yyyy.M.d", "M/d/yyyy")
+        text = F.coalesce(*[F.when(kind == k, F.date_format("date", f)) for k, f in enumerate(forms)])
+        return p.select(text.alias("date"), "ticker", F.col("adj_close").alias("adjusted_close"), "close", "volume")
+    return market.ingest_market_data(ws.spark, source, ws.master, prepare=prices)
+
+
 @query("security_id_from_ticker", "SELECT ticker, security_id FROM ct_master")
 def _(ws):
     return ws.classification.select("ticker", pn.security_id_from_ticker(F.col("ticker")).alias("security_id"))

@@ -20,9 +20,9 @@ def ticker_of(key) -> "F.Column":
     return F.concat(F.lit("s."), F.lpad(key.cast("string"), 10, "0"))
 
 
-def vendor_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (supplier, two weeks), in the vendor's spelling."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax")
+def vendor_prices(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """One row per (supplier, two weeks), in the vendor's spelling. ``lines``: the order lines, if they come from elsewhere."""
+    lines = (table(spark, sf_dir, "lineitem") if lines is None else lines).select("l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax")
     origin = F.lit("1995-01-02").cast("date")
     fortnight = F.date_add(origin, (F.floor(F.datediff(F.col("l_shipdate").cast("date"), origin) / 14) * 14).cast("int"))
     lots = lines.groupBy("l_suppkey", fortnight.alias("Date")).agg(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..contracts import gate_unique
+from ..functions.checked import once_by, once_by_date, shown, stop_unless
+from ..functions.dates import parse_mixed_date as parse_date
 from ..functions.exprs import union_all
+from .pluggable import open_source
 
 # Vendor spellings (letters and digits only, lower case) and their canonical names.
 VENDOR_COLUMNS = {
@@ -15,7 +17,8 @@ VENDOR_COLUMNS = {
 }
 PRICE_COLUMNS = ("open", "high", "low", "close", "adj_close")
 DAILY_PRICES = ("date", "security_id", "ticker", *PRICE_COLUMNS, "volume")
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MMM-yyyy", "yyyyMMdd")
+CLASSIFICATION = ("ticker", "company_name", "exchange_or_market", "subsector", "semiconductor_role", "business_description",
+                  "inclusion_reason", "universe_tier", "review_flag", "notes")
 
 
 def read_csv(spark: SparkSession, path, schema, column_map: dict[str, str] | None = None, **options) -> DataFrame:
@@ -38,32 +41,41 @@ def scan_dates(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def parse_date(raw: Column) -> Column:
-    """First format that fits; null when none does. A zoned stamp keeps its local date label."""
-    text = F.trim(raw.cast("string"))
-    local = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ].*"), F.substring(text, 1, 10)).otherwise(text)
-    return F.coalesce(*[F.try_to_date(local, f) for f in DATE_FORMATS])
-
-
 def clean_master(raw: DataFrame) -> DataFrame:
     """Trim every text column of a vendor mapping."""
     return raw.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in raw.columns])
 
 
+def _filled(df: DataFrame, what: str) -> DataFrame:
+    """Rows without a null or blank cell; others stop the run, with the names of their blank columns."""
+    blank = F.concat_ws(", ", *[F.when(F.coalesce(F.length(F.trim(c)), F.lit(0)) == 0, F.lit(c)) for c in df.columns])
+    return stop_unless(df, blank == "", F.concat(F.lit(f"{what}: blank cells in "), blank))
+
+
 def load_security_master(raw: DataFrame, unique=("security_id", "ticker", "yahoo_symbol")) -> DataFrame:
-    """Trimmed vendor mapping; raises on blanks and on duplicate identifiers."""
-    out = clean_master(raw)
-    blanks = out.select(*[F.count_if(F.length(c) == 0).alias(c) for c in out.columns]).first().asDict()
-    if any(blanks.values()):
-        raise ValueError(f"security master has blank cells in {[c for c, n in blanks.items() if n]}")
+    """Trimmed vendor mapping; blanks and duplicate identifiers stop the run that reads them."""
+    out = _filled(clean_master(raw), "security master")
     for column in unique:
-        gate_unique(out, [column], "security master")
+        out = once_by(out, [column], "security master")
     return out
 
 
-def load_classification(raw: DataFrame) -> DataFrame:
-    """Trimmed classification text with upper-case tickers."""
-    return clean_master(raw).withColumn("ticker", F.upper("ticker"))
+def load_classification(raw: DataFrame, subsectors=None, tiers=("core", "extension")) -> DataFrame:
+    """Trimmed classification text with upper-case tickers.
+
+    Absent columns and columns that aren't text are refused at once. Blank cells, a second row of a ticker, and subsectors or tiers
+    outside the approved ones (any, where None) stop the run that reads them.
+    """
+    kinds = dict(raw.dtypes)
+    if absent := [c for c in CLASSIFICATION if c not in kinds]:
+        raise ValueError(f"classification is missing {absent}")
+    if odd := [c for c in CLASSIFICATION if kinds[c] != "string"]:
+        raise ValueError(f"classification columns {odd} must be text")
+    out = _filled(clean_master(raw).withColumn("ticker", F.upper("ticker")), "classification")
+    for column, approved in (("subsector", subsectors), ("universe_tier", tiers)):
+        if approved is not None:
+            out = stop_unless(out, F.col(column).isin(*approved), shown(f"classification: unsupported {column}", column))
+    return once_by(out, ["ticker"], "classification")
 
 
 def canonical_names(columns) -> dict[str, str]:
@@ -94,9 +106,8 @@ def standardize_prices(raw: DataFrame) -> DataFrame:
 
 
 def combine_prices(frames: list[DataFrame]) -> DataFrame:
-    """Union of standardised frames with one row per (security, date), else an error."""
-    out = union_all([f.select(*DAILY_PRICES) for f in frames])
-    return gate_unique(out, ["security_id", "date"], "standardized prices")
+    """Union of standardised frames; a second row of a (security, date) stops the run that reads it."""
+    return once_by_date(union_all([f.select(*DAILY_PRICES) for f in frames]), "security_id", "date", "standardized prices")
 
 
 def normalize_rows(raw: DataFrame, identifier: str = "ticker") -> DataFrame:
@@ -123,7 +134,7 @@ def build_daily_panel(raw: DataFrame, master: DataFrame, identifier: str = "tick
     """
     from ..operators.panel import simple_returns
 
-    ids = gate_unique(master.select(F.col(identifier), "security_id"), [identifier], "security_master")
+    ids = once_by(master.select(F.col(identifier), "security_id"), [identifier], "security master")
     rows = normalize_rows(raw, identifier).join(ids, identifier, "left")
     defect = F.coalesce("defect", F.when(F.col("security_id").isNull(), F.lit("invalid_security_reference")))
     twin = F.count("*").over(Window.partitionBy("security_id", "date")) > 1
@@ -134,9 +145,13 @@ def build_daily_panel(raw: DataFrame, master: DataFrame, identifier: str = "tick
     return simple_returns(panel, "adjusted_close")
 
 
-def ingest_market_data(source, master: DataFrame, identifier: str = "ticker") -> DataFrame:
-    """Any object with ``load() -> DataFrame`` (or a DataFrame) to an analysis panel."""
-    return build_daily_panel(source if isinstance(source, DataFrame) else source.load(), master, identifier)
+def ingest_market_data(spark: SparkSession, source, master: DataFrame, identifier: str = "ticker", prepare=None) -> DataFrame:
+    """A frame or a plugged-in source (``pluggable.MarketSource``) to an analysis panel.
+
+    ``prepare`` turns what the source returns into rows of date, identifier, adjusted_close, close and volume.
+    """
+    raw = source if isinstance(source, DataFrame) else open_source(spark, source)
+    return build_daily_panel(raw if prepare is None else prepare(raw), master, identifier)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by_year: bool = False) -> None:
