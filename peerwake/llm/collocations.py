@@ -7,8 +7,10 @@ nodes that begin with it plus the pieces that end with it.
 
 Words with under ``LEAST`` occurrences can't be in a candidate. A first pass counts words; those frequent enough get a symbol
 of their own (a 64-bit hash of language and word, checked to be unique), all others share one, so that rare words
-merge their edges and nothing of a candidate's count is lost. Which words are frequent is told to the second pass by a Bloom
-filter of at most 64 MB (``bloom``): a word that passes wrongly only keeps its own symbol.
+merge their edges and nothing of a candidate's count is lost. A second pass sums hashes of neighbouring frequent words in the same
+way; in an edge, a word that doesn't make a frequent pair with the one before it counts as rare, so few edges are left.
+Which words and pairs are frequent is told to the passes by Bloom filters of at most 64 MB (``bloom``): what passes
+wrongly only keeps its own symbol, and all counts come from the edges.
 
 The heavy edges (``LEAST`` or more) are compacted: a node whose ingoing and outgoing edge both carry its whole count lies inside
 a unary path, found by doubling pointers. A path is one row of symbols and one count, no longer than the longest piece. Its windows are
@@ -100,22 +102,49 @@ class _Symbols:
         return [np.fromiter(itertools.chain(map(known.__getitem__, found), (END, END)), np.uint64, len(found) + 2) for found in texts]
 
 
-def _summed(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    mixed = (x * np.uint64(0x9E3779B97F4A7C15) ^ y) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def _pairs(ids: np.ndarray, _) -> pa.RecordBatch:
+    """(pair, n): how often each hash of two neighbouring frequent words occurs."""
+    x, y = ids[:-1], ids[1:]
+    own = (x > RARE) & (y > RARE)
+    pair, n = np.unique(_mix(x[own], y[own]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n, pa.int64())], names=["pair", "n"])
+
+
+def _edges(ids: np.ndarray, frequent: bloom.Keys) -> pa.RecordBatch:
     """Counts of equal edges. Edges whose mixed keys collide may stay apart; the next sum joins them."""
-    mixed = (x * np.uint64(0x9E3779B97F4A7C15) ^ y) * np.uint64(0xC2B2AE3D27D4EB4F) ^ z
-    order = np.argsort(mixed)
+    x, y, z = ids[:-2], ids[1:-1], ids[2:]
+    often = np.zeros(len(ids) - 1, bool)
+    both = np.flatnonzero((ids[:-1] > RARE) & (ids[1:] > RARE))
+    often[both] = frequent.passes(_mix(ids[both], ids[both + 1]))
+    y = np.where(often[:-1] | (y == END), y, np.uint64(RARE))
+    z = np.where(y <= RARE, y, np.where(often[1:] | (z == END), z, np.uint64(RARE)))
+    own = x > RARE
+    x, y, z = x[own], y[own], z[own]
+    order = np.argsort(_mix(_mix(x, y), z))
     x, y, z = x[order], y[order], z[order]
-    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]))
     n = np.diff(np.append(first, len(x)))
     return pa.RecordBatch.from_arrays([pa.array(c[first].view(np.int64)) for c in (x, y, z)] + [pa.array(n, pa.int64())], names=["x", "y", "z", "n"])
 
 
-def edges(docs: DataFrame, frequent: DataFrame, blocks: int, seed: int = SEED) -> DataFrame:
-    """(x, y, z, n): the summed edges that begin with a frequent word. ``frequent``: its Bloom filter's blocks."""
-    shared = docs.sparkSession.sparkContext.broadcast([(r["block"], np.array(r["bits"], np.int64)) for r in frequent.toLocalIterator()])
+def _filter(keys: DataFrame, label: str):
+    """A Bloom filter of the one column of ``keys`` as (blocks' rows, number of blocks): 64 MB at most, held for the tasks."""
+    keys = staged(keys, label)
+    blocks = bloom.blocks_for(keys.count())
+    rows = [(r["block"], np.array(r["bits"], np.int64)) for r in staged(bloom.build(keys, blocks), f"{label}-filter").toLocalIterator()]
+    return keys.sparkSession.sparkContext.broadcast((rows, blocks))
 
+
+def _chunks(docs: DataFrame, cut, words_of, pairs_of, seed: int, schema: str) -> DataFrame:
+    """``cut`` of the symbols of many texts at a time, about ``HELD`` / 2; two ENDs lie between texts."""
     def run(batches):
-        symbols, held, size = _Symbols(bloom.Keys(shared.value, blocks), seed), [], 0
+        symbols, held, size = _Symbols(bloom.Keys(*words_of.value), seed), [], 0
+        frequent = bloom.Keys(*pairs_of.value) if pairs_of else None
         for batch in small_batches(batches):
             texts: dict[str, list] = defaultdict(list)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -123,23 +152,14 @@ def edges(docs: DataFrame, frequent: DataFrame, blocks: int, seed: int = SEED) -
             for lang, found in texts.items():
                 held += symbols.of(lang, found)
                 size += sum(map(len, found))
-            if size >= HELD:
-                yield _cut(held)
+            if size >= HELD >> 1:
+                yield cut(np.concatenate(held), frequent)
                 held, size = [], 0
         if held:
-            yield _cut(held)
+            yield cut(np.concatenate(held), frequent)
         give_back()
 
-    return arrow_map(_named(docs), run, "x long, y long, z long, n long").groupBy("x", "y", "z").agg(F.sum("n").alias("n"))
-
-
-def _cut(held: list[np.ndarray]) -> pa.RecordBatch:
-    ids = np.concatenate([*held, np.zeros(2, np.uint64)])
-    x, y, z = ids[:-2], ids[1:-1], ids[2:]
-    own = x > RARE
-    x, y, z = x[own], y[own], z[own]
-    z = np.where(y == END, np.uint64(END), np.where(y == RARE, np.uint64(RARE), z))
-    return _summed(x, y, z)
+    return arrow_map(_named(docs), run, schema)
 
 
 def graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,10 +174,12 @@ def graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         twice = vocabulary.groupBy("symbol").agg(F.count("*").alias("k")).where(F.col("k") > 1)
         if twice.isEmpty() and vocabulary.where(F.col("symbol").isin(END, RARE)).isEmpty():
             break  # else two words share a symbol: another seed
-    often = vocabulary.where(F.col("n") >= LEAST)
-    blocks = bloom.blocks_for(often.count())
-    summed = edges(docs, staged(bloom.build(often.select("symbol"), blocks), "frequent"), blocks, seed)
-    none, many = F.lit(None).cast("long"), F.col("n") >= LEAST
+    many = F.col("n") >= LEAST
+    words_of = _filter(vocabulary.where(many).select("symbol"), "frequent-words")
+    pairs = _chunks(docs, _pairs, words_of, None, seed, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs_of = _filter(pairs.where(many).select("pair"), "frequent-pairs")
+    summed = _chunks(docs, _edges, words_of, pairs_of, seed, "x long, y long, z long, n long").groupBy("x", "y", "z").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("long")
     two = summed.groupBy("x", "y").agg(F.sum("n").alias("n")).where(many).select("x", "y", none.alias("z"), "n")
     one = summed.groupBy("x").agg(F.sum("n").alias("n")).where(many).select("x", none.alias("y"), none.alias("z"), "n")
     counts = staged(summed.where(many).unionByName(two).unionByName(one), "graph")
