@@ -2,7 +2,8 @@
 
 Texts above ``PIECE`` characters are cut before a single space between two letters. The
 pre-splitting pattern always starts a new match there, so the ids are those of the whole
-text while each call stays short. Decoding joins the tokens' bytes and needs no valid UTF-8.
+text while each call stays short. A part that has no such place for over ``LONG`` characters (runs of blanks, say, on which the
+library's own splitter gives up) is split by the pattern here, and each match is encoded alone. Decoding joins the tokens' bytes and needs no valid UTF-8.
 
 Both directions are Arrow maps: no shuffle, a few megabytes of text in memory at a time, and
 a lost task is simply run again. Null text is encoded as the empty text (no ids, no bytes).
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import arrow_map, small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
-PIECE = 1 << 16
+PIECE, LONG = 1 << 16, 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -45,8 +46,15 @@ def safe_pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[start:]]
 
 
+def _encode_part(part: str, codec: tiktoken.Encoding) -> np.ndarray:
+    if len(part) <= LONG:
+        return np.asarray(codec.encode_to_numpy(part, disallowed_special=()), dtype=np.int32)
+    matches = regex.finditer(public_tokenizers.PATTERN, part)
+    return np.fromiter((i for m in matches for i in codec._encode_single_piece(m.group().encode("utf-8"))), np.int32)
+
+
 def encode_text(text: str, codec: tiktoken.Encoding) -> np.ndarray:
-    parts = [np.asarray(codec.encode_to_numpy(p, disallowed_special=()), dtype=np.int32) for p in safe_pieces(text)]
+    parts = [_encode_part(p, codec) for p in safe_pieces(text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

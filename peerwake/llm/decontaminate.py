@@ -114,10 +114,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
              .groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("item")).alias("items")))
     per_doc = (spans.alias("s").join(items.alias("i"), F.expr("s.doc_id <=> i.doc_id AND s.text_id = i.text_id"))
                .select("s.doc_id", "s.text_id", _covered(F.col("s.spans")).cast("long").alias("n_hit"), "i.items"))
-    per_doc = per_doc.toDF("hit_doc", "hit_text", "n_hit", "items")
+    per_doc = per_doc.toDF("__hit_doc", "__hit_text", "__n_hit", "__items")
     base = docs.drop(*RESULTS).withColumns({"__text_id": F.xxhash64("text"), "n_words": F.size(pieces(F.col("text"), NOT_WORD_ANY_CASE)).cast("long")})
-    joined = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("__text_id") == F.col("hit_text")), "left")
-    n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
+    joined = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__hit_doc")) & (F.col("__text_id") == F.col("__hit_text")), "left")
+    n_hit, listed = F.coalesce("__n_hit", F.lit(0)), F.coalesce("__items", F.array().cast("array<string>"))
     return joined.select(*base.drop("__text_id").columns, n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
                          F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
@@ -126,6 +126,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     """Documents without a benchmark window, with their columns as they were."""
     windows = staged(benchmark_windows(benchmark, window), "item-windows")
     hit = staged(find_windows(docs, windows).select("doc_id", "text_id").distinct(), "hit-documents")
-    gone = hit.toDF("hit_doc", "hit_text")
+    gone = hit.toDF("__hit_doc", "__hit_text")
     own = docs.withColumn("__text_id", F.xxhash64("text"))
-    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("__text_id") == F.col("hit_text")), "left_anti").drop("__text_id")
+    return own.join(gone, F.col("doc_id").eqNullSafe(F.col("__hit_doc")) & (F.col("__text_id") == F.col("__hit_text")), "left_anti").drop("__text_id")

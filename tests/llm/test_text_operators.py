@@ -213,7 +213,6 @@ def test_bpe_edges(edges):
 def test_range_coder_files_round_trip(spark, docs, tmp_path):
     part = docs.where("doc_id < 60")
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want, start = {}, 0
     for r in part.orderBy("doc_id").collect():
         ids = [*t.encode(r.text, add_special_tokens=False).ids, 2]
@@ -530,3 +529,28 @@ def test_stages_return_the_columns_of_documents(spark, edges):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, edges, SMALL).columns == edges.columns, name
         assert stage(spark, none_of(edges), SMALL).count() == 0
+
+
+def test_literal_end_token_gives_its_id_as_the_plain_call_does(spark):
+    text = "hi <|endoftext|> there"
+    row = range_coder.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    ids = [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 2]
+    assert 50256 in ids and (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_very_long_runs_of_blanks_and_line_ends_are_encoded():
+    codec = bpe.encoding()
+    for middle in (" " * 2_000_000, "\n" * 1_500_000, " \n" * 700_000, "\t " * 600_000):
+        text = "Start of it" + middle + "end, and more."
+        ids = bpe.encode_text(text, codec)
+        assert codec.decode_bytes(ids.tolist()) == text.encode()
+    short = "Start of it" + " \n\t  " * 60_000 + "end, and more."  # over the length, and still within the library's reach
+    assert len(short) > bpe.LONG and bpe.encode_text(short, codec).tolist() == codec.encode_ordinary(short)
+
+
+def test_decontamination_keeps_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", "x", "y"), (2, "none of it", "x", "y")], "doc_id long, text string, hit_doc string, hit_text string")
+    items = spark.createDataFrame([("i", "a b c d e f g h i j")], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.keep_clean(docs, items).collect()] == [(2, "none of it", "x", "y")]
+    found = {r.doc_id: (r.n_hit, r.hit_doc, r.hit_text) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert found == {1: (10, "x", "y"), 2: (0, "x", "y")}
