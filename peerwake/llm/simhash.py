@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,11 +157,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without doc_id come last in their group and stay if it has no other. Of groups that
     would each keep a row of one doc_id, one keeps it.
     """
-    own = docs.withColumns({"__node": near_copies.node_of(F.col("text")), "__row": F.xxhash64(*docs.columns)})
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(near_copies.node_of(F.col("text")).alias("__node"), "doc_id", F.xxhash64(*map(_hashable, docs.schema)).alias("__row"), F.struct(*whole).alias("__doc"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__node", "__row"))
     nodes = staged(own.groupBy(F.col("__node").alias("node")).agg(first.alias("first")), "texts")
     grouped = nodes.join(near_copies.groups(docs), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.*")
     order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__node"))).orderBy("__row")
     kept = staged(grouped.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("__node", "__row"), "survivors")
-    same = Window.partitionBy("__node", "__row").orderBy(F.lit(0))
-    return own.join(kept, ["__node", "__row"], "left_semi").withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)
+    # Repeated rows are reduced to one before they are shuffled.
+    return own.groupBy("__node", "__row").agg(F.first("__doc").alias("__doc")).join(kept, ["__node", "__row"], "left_semi").select("__doc.*")
+
+
+def _hashable(field: T.StructField) -> Column:
+    """A column that can be hashed; maps, which Spark doesn't hash, as JSON."""
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column

@@ -158,12 +158,12 @@ def edited_copies(seed, bases, copies, words):
     return list(dict.fromkeys(out))
 
 
-@pytest.mark.parametrize("crowd, partners", [(16, 64), (2, 64), (2, 0)])
-def test_near_copy_groups_equal_brute_force(spark, docs, crowd, partners):
+@pytest.mark.parametrize("hubs", [0, 1, near_copies.HUBS])
+def test_near_copy_groups_equal_brute_force(spark, docs, hubs):
     texts = list(dict.fromkeys([*(r.text for r in docs.select("text").collect()), *edited_copies(5, 6, 30, 150)]))
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", near_copies.node_of(F.col("text")))
     found = {}
-    for r in table.join(near_copies.groups(table, crowd, partners), "node").collect():
+    for r in table.join(near_copies.groups(table, hubs), "node").collect():
         found.setdefault(r.component, set()).add(r.text)
     want = near_groups(texts)
     assert len(want) > 6 and {frozenset(g) for g in found.values()} == want
@@ -515,8 +515,11 @@ def test_pipeline_equals_stages_by_hand(spark, docs, monkeypatch):
     found = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, SMALL).collect()}
     rows = {r.doc_id: r.text for r in docs.collect()}
     left = {i: t for i, t in rows.items() if net.scores([t])[0] < 0.5}
-    groups = plain_components({i: plain_fingerprint(t) for i, t in left.items()})
-    left = {i: t for i, t in left.items() if groups[i] == i}
+    first = {}
+    for i, t in sorted(left.items()):
+        first.setdefault(t, i)
+    group = {t: g for g in near_groups(list(first)) for t in g}
+    left = {i: t for i, t in left.items() if i == min(first[u] for u in group.get(t, {t}))}
     hit = decontaminate.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{SMALL}/benchmark.parquet")).where("contaminated")
     left = {i: t for i, t in left.items() if i not in {r.doc_id for r in hit.collect()}}
     assert found.keys() == left.keys()
@@ -531,6 +534,23 @@ def test_stages_return_the_columns_of_documents(spark, edges):
         assert stage(spark, none_of(edges), SMALL).count() == 0
 
 
+def test_stages_keep_the_values_of_extra_columns(spark):
+    """Names that the stages use themselves, a dotted one, and types that can't be hashed."""
+    names = ["doc_id", "text", "given", "text_key", "n_entities", "a.b", "score", "__node", "hit_doc", "held_out"]
+    rows = [(1, "Write to jane.doe@example.org now", *"abcdefgh", {"k": 1}), (2, "nothing of the kind here", *"stuvwxyz", {"k": 2})]
+    made = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names) + ", m map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, made, SMALL)
+        assert out.columns == made.columns, name
+        got = {r.doc_id: tuple(r)[2:] for r in out.collect()}
+        assert got == {r[0]: r[2:] for r in rows}, name
+
+
+def test_one_of_many_repeated_rows_stays(spark):
+    rows = spark.range(500).select(F.lit(4).cast("long").alias("doc_id"), F.lit("the same row").alias("text"))
+    assert [tuple(r) for r in simhash.keep_one(rows).collect()] == [(4, "the same row")]
+
+
 def test_literal_end_token_gives_its_id_as_the_plain_call_does(spark):
     text = "hi <|endoftext|> there"
     row = range_coder.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
