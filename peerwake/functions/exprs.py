@@ -37,6 +37,41 @@ def draw_index(n, *parts) -> Column:
     return F.pmod(draw_u60(*parts), n)
 
 
+def shuffled_places(n: Column, k: Column, *parts) -> Column:
+    """The first ``k`` of a keyed permutation of 0 .. n - 1, as an array: a sample without replacement in random order.
+
+    A Feistel network of four rounds permutes the least power of four from 64 on that is not below ``n``;
+    of the numbers 0, 1, 2, ... in its order those below ``n`` are kept. A prefix of the numbers gives
+    enough of them but for rare keys, which go through all. One digest of ``parts`` keys the rounds.
+    ``k`` must be at most ``n``; n up to 2^38.
+    """
+    half = F.greatest(F.ceil((F.length(F.bin(F.greatest(n, F.lit(1)) - 1)) / 2)), F.lit(3)).cast("int")
+    setup = F.struct(digest(*parts).alias("h"), F.expr("bigint(1)").alias("one"), half.alias("half"), n.cast("bigint").alias("n"), k.cast("bigint").alias("k"))
+
+    def body(s: Column) -> Column:
+        number = lambda at, digits: F.conv(F.substring(s["h"], at, digits), 16, 10).cast("bigint")
+        size = F.call_function("shiftleft", s["one"], s["half"])
+        ready = F.struct(*[number(1 + 15 * r, 7).alias(f"a{r}") for r in range(4)], *[number(8 + 15 * r, 8).alias(f"b{r}") for r in range(4)],
+                         size.alias("size"), (size * size).alias("domain"), s["n"].alias("n"), s["k"].alias("k"))
+        return F.transform(F.array(ready), sample)[0]
+
+    def sample(s: Column) -> Column:
+        def place(j: Column) -> Column:
+            left, right = F.floor(j / s["size"]).cast("bigint"), F.pmod(j, s["size"])
+            for r in range(4):
+                mixed = F.shiftright(F.pmod(right * s[f"a{r}"] + s[f"b{r}"], F.lit((1 << 31) - 1)), 12)
+                left, right = right, left.bitwiseXOR(F.pmod(mixed, s["size"]))
+            return left * s["size"] + right
+
+        def below(count: Column) -> Column:
+            return F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), place), lambda x: x < s["n"])
+
+        first = F.transform(F.array(below(F.least(s["domain"], 8 * s["k"] + 64))), lambda x: F.when(F.size(x) >= s["k"], x).otherwise(below(s["domain"])))[0]
+        return F.slice(first, F.lit(1), s["k"].cast("int"))
+
+    return F.transform(F.array(setup), body)[0]
+
+
 def when_label(condition: Column, label) -> Column:
     return F.when(condition, label if isinstance(label, Column) else F.lit(label))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import issue_rows
 from ..functions.checkpoints import staged
-from ..functions.exprs import digest, draw_index, gated, null_safe_on, tagged_id, trailing, union_all
+from ..functions.exprs import digest, draw_index, gated, null_safe_on, shuffled_places, tagged_id, trailing, union_all
 from ..functions.selection import dense_index, percentiles
 from ..params import CELL, OUTCOMES, Detection, Resampling, Study, signature
 from . import events as ev
@@ -37,46 +37,46 @@ def random_peer_edges(events: DataFrame, sizes: DataFrame, pool: DataFrame, iter
     """As many random eligible peers as the event had, without replacement, never the event's own firm.
 
     ``pool`` has (date, security_id) of eligible securities, ``sizes`` (event_id,
-    portfolio_size, weight). The pool of a date gets one random order per iteration, and
-    each event takes a run of that circle from its own random start. Every subset of the
-    wanted size is equally likely for an event, and the work is the size of the output.
+    portfolio_size, weight), and in place of equal weights a ``weights`` array of the event's own. The pool
+    of a date is numbered once. Each event and iteration takes the first places of its own keyed
+    permutation of the other firms, so subsets of one date are independent, and the weights, given out in
+    that order, are permuted with them. The work is the size of the output.
     """
     dates = events.select("date").distinct()
-    drawn = _rounds(pool.join(dates, "date", "left_semi").select("date", "security_id"), iterations, "iteration")
-    drawn = drawn.withColumn("__h", digest(seed, F.col("iteration"), F.col("date"), F.col("security_id")))
-    circle = dense_index(drawn, ["iteration", "date"], "__h", "place").select(
-        "iteration", "date", "security_id", "place", F.col("place_total").alias("pool_size"))
-    own = _rounds(events.join(sizes, "event_id").select("event_id", "date", "security_id", "peer_definition", "portfolio_size", "weight"),
-                  iterations, "iteration")
-    own = own.join(circle.withColumnRenamed("place", "__mine"), ["iteration", "date", "security_id"], "left")
-    totals = circle.select("iteration", "date", F.col("pool_size").alias("__pool")).distinct()
-    own = own.join(totals, ["iteration", "date"], "left")
+    circle = pool.join(dates, "date", "left_semi").select("date", "security_id").withColumn("__h", digest(seed, F.col("date"), F.col("security_id")))
+    circle = staged(dense_index(circle, ["date"], "__h", "place").select("date", "security_id", "place", F.col("place_total").alias("pool_size")), "pool_places")
+    own = events.select("event_id", "date", "security_id", "peer_definition").join(sizes, "event_id")
+    own = own.join(circle.select("date", "security_id", F.col("place").alias("__mine")), ["date", "security_id"], "left")
+    own = own.join(circle.groupBy("date").agg(F.max("pool_size").alias("__pool")), "date", "left")
     others = F.coalesce("__pool", F.lit(0)) - F.when(F.col("__mine").isNotNull(), 1).otherwise(0)
     fits = F.when(others >= F.col("portfolio_size"), F.col("portfolio_size")).otherwise(
         F.raise_error(F.concat(F.lit("too few random-peer candidates for "), F.col("event_id"))).cast("bigint"))
-    own = own.withColumn("__others", others).withColumn("portfolio_size", fits)
-    own = own.withColumn("__start", draw_index(F.col("__others"), seed, F.lit("start"), F.col("iteration"), F.col("event_id")))
-    slots = own.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portfolio_size") - 1)))
-    step = F.pmod(F.col("__start") + F.col("slot"), F.col("__others"))
-    # Positions count the other firms only: step over the event's own place.
-    slots = slots.withColumn("place", F.when(F.col("__mine").isNotNull() & (step >= F.col("__mine")), step + 1).otherwise(step))
-    peers = circle.select("iteration", "date", "place", F.col("security_id").alias("peer_id"))
-    return slots.join(peers, ["iteration", "date", "place"]).select(
-        "iteration", "event_id", "date", "security_id", "peer_id", "peer_definition", "weight")
+    own = _rounds(own.withColumn("__others", others).withColumn("portfolio_size", fits), iterations, "iteration")
+    places = shuffled_places(F.col("__others"), F.col("portfolio_size"), seed, F.lit("peers"), F.col("iteration"), F.col("event_id"))
+    slots = own.select("*", F.posexplode(places).alias("slot", "step"))
+    # Places count the other firms only: step over the event's own one.
+    step, mine = F.col("step"), F.col("__mine")
+    slots = slots.withColumn("place", F.when(mine.isNotNull() & (step >= mine), step + 1).otherwise(step))
+    if "weights" in sizes.columns:
+        slots = slots.withColumn("weight", F.get("weights", F.col("slot")))
+    peers = circle.select("date", "place", F.col("security_id").alias("peer_id"))
+    return slots.join(peers, ["date", "place"]).select("iteration", "event_id", "date", "security_id", "peer_id", "peer_definition", "weight")
 
 
 def random_peer_rules(edges: DataFrame, sizes: DataFrame, pool: DataFrame) -> DataFrame:
-    """Violations of the placebo's promises: self peers, weight sums, counts, eligibility and weights."""
+    """Violations of the placebo's promises: self peers, weight sums, counts, eligibility and the weights as a sorted list."""
     name = "random_peers"
     base = issue_rows(edges, {("self_peer", "peer_id"): F.count_if(F.col("security_id") == F.col("peer_id")),
                               ("negative_weight", "weight"): F.count_if(F.col("weight") < 0)}, name)
     held = edges.groupBy("iteration", "event_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.count_distinct("peer_id").alias("d"),
-                                                      F.min("weight").alias("w0"), F.max("weight").alias("w1"))
-    held = held.join(sizes.select("event_id", "portfolio_size", F.col("weight").alias("was")), "event_id", "left")
+                                                      F.sort_array(F.collect_list("weight")).alias("ws"))
+    was = F.sort_array("weights") if "weights" in sizes.columns else F.array_repeat("weight", F.col("portfolio_size").cast("int"))
+    held = held.join(sizes.select("event_id", "portfolio_size", was.alias("was")), "event_id", "left")
+    changed = F.exists(F.zip_with("ws", "was", lambda x, y: F.coalesce(F.abs(x - y) > 1e-12, F.lit(True))), lambda x: x)
     counts = issue_rows(held, {
         ("invalid_weight_sum", "weight"): F.count_if(F.abs(F.col("w") - 1) > 1e-10),
         ("peer_count_changed", "peer_id"): F.count_if((F.col("n") != F.col("portfolio_size")) | (F.col("d") != F.col("n"))),
-        ("weight_rule_changed", "weight"): F.count_if((F.abs(F.col("w0") - F.col("was")) > 1e-12) | (F.abs(F.col("w1") - F.col("was")) > 1e-12))}, name)
+        ("weight_rule_changed", "weight"): F.count_if(changed)}, name)
     outside = edges.join(pool.select("date", F.col("security_id").alias("peer_id")), ["date", "peer_id"], "left_anti")
     return union_all([base, counts, issue_rows(outside, {("ineligible_peer", "peer_id"): F.count("*")}, name)])
 

@@ -177,19 +177,33 @@ UNIVERSE_RUN = detection_ctes("un", "ct_var_movers") + "," + run_ctes(
 # --- Placebos -------------------------------------------------------------------------------
 
 cte("ct_circle", """
-SELECT it, p.date, p.security_id, row_number() OVER (PARTITION BY it, p.date ORDER BY sha256(concat_ws('|', 42, it, p.date, p.security_id))) - 1 AS place,
-  count(*) OVER (PARTITION BY it, p.date) AS pool
-FROM ct_panel p JOIN (SELECT DISTINCT date FROM ct_events) d ON d.date = p.date CROSS JOIN (SELECT unnest(range(0, 20)) AS it) WHERE p.eligible""")
-cte("ct_random_slots", """
-SELECT o.it, o.event_id, o.date, o.security_id, o.weight, o.pool, (start + slot) % (o.pool - 1) AS step, o.place AS mine FROM (
-  SELECT c.it, e.event_id, e.date, e.security_id, c.place, c.pool, z.n, 1.0 / z.n AS weight,
-    ('0x' || substr(sha256(concat_ws('|', 42, 'start', c.it, e.event_id)), 1, 15))::BIGINT % (c.pool - 1) AS start
-  FROM ct_events e JOIN ct_circle c ON c.date = e.date AND c.security_id = e.security_id
-  JOIN (SELECT date, security_id, count(*) AS n FROM ct_pairs GROUP BY 1, 2) z ON z.date = e.date AND z.security_id = e.security_id) o
-CROSS JOIN LATERAL (SELECT unnest(range(0, o.n)) AS slot) s""")
+SELECT p.date, p.security_id, row_number() OVER (PARTITION BY p.date ORDER BY sha256(concat_ws('|', 42, p.date, p.security_id))) - 1 AS place,
+  count(*) OVER (PARTITION BY p.date) AS pool
+FROM ct_panel p JOIN (SELECT DISTINCT date FROM ct_events) d ON d.date = p.date WHERE p.eligible""")
+
+
+def feistel(rounds: int = 4) -> str:
+    """(event, iteration, j) with its place in the keyed permutation, a select for each round."""
+    out = "SELECT *, j // size AS l, j % size AS r FROM ct_random_keys CROSS JOIN LATERAL (SELECT unnest(range(0, size * size)) AS j) n"
+    for k in range(rounds):
+        number = lambda at, digits: f"('0x' || substr(h, {at}, {digits}))::BIGINT"
+        mixed = f"(((r * {number(1 + 15 * k, 7)} + {number(8 + 15 * k, 8)}) % 2147483647) >> 12) % size"
+        out = f"SELECT * REPLACE (r AS l, xor(l, {mixed}) AS r) FROM ({out})"
+    return out
+
+
+cte("ct_random_keys", """
+SELECT it, e.event_id, e.date, e.security_id, c.place AS mine, c.pool - 1 AS others, z.n, 1.0 / z.n AS weight, sha256(concat_ws('|', 42, 'peers', it, e.event_id)) AS h,
+  1::BIGINT << greatest(3, (length(bin(greatest(c.pool - 1, 1) - 1)) + 1) // 2)::INTEGER AS size
+FROM ct_events e JOIN ct_circle c ON c.date = e.date AND c.security_id = e.security_id
+JOIN (SELECT date, security_id, count(*) AS n FROM ct_pairs GROUP BY 1, 2) z ON z.date = e.date AND z.security_id = e.security_id
+CROSS JOIN (SELECT unnest(range(0, 20)) AS it)""")
+cte("ct_random_slots", f"""
+SELECT it, event_id, date, security_id, weight, mine, l * size + r AS step, n FROM ({feistel()}) WHERE l * size + r < others
+QUALIFY row_number() OVER (PARTITION BY it, event_id ORDER BY j) <= n""")
 cte("ct_random_edges", """
 SELECT s.it AS k, s.event_id, s.date, s.security_id, c.security_id AS peer_id, s.weight
-FROM ct_random_slots s JOIN ct_circle c ON c.it = s.it AND c.date = s.date AND c.place = CASE WHEN s.step >= s.mine THEN s.step + 1 ELSE s.step END""")
+FROM ct_random_slots s JOIN ct_circle c ON c.date = s.date AND c.place = CASE WHEN s.step >= s.mine THEN s.step + 1 ELSE s.step END""")
 cte("ct_random_events", "SELECT it AS k, event_id, date, security_id, sgn FROM ct_events CROSS JOIN (SELECT unnest(range(0, 20)) AS it)")
 RANDOM_RUN = run_ctes("rp", "ct_random_events", "ct_random_edges", "x.k = d.k AND x.event_id = d.event_id", post=10, horizons="1, 3, 5, 10")
 

@@ -55,6 +55,35 @@ def test_random_peers_keep_their_promises(spark):
         rs.random_peer_edges(events, sizes.withColumn("portfolio_size", F.lit(8).cast("bigint")), pool, 1, 3).collect()
 
 
+def test_random_peers_of_one_date_are_independent_and_uniform(spark):
+    pool = spark.createDataFrame([(day(0), f"F{i}") for i in range(9)], "date date, security_id string")
+    events = spark.createDataFrame([("a", day(0), "F0", ECONOMIC), ("b", day(0), "F1", ECONOMIC), ("c", day(0), "outside", ECONOMIC)],
+                                   "event_id string, date date, security_id string, peer_definition string")
+    sizes = events.select("event_id", F.lit(2).cast("bigint").alias("portfolio_size"), F.lit(0.5).alias("weight"))
+    rounds = 3000
+    edges = rs.random_peer_edges(events, sizes, pool, rounds, 5)
+    held = edges.groupBy("iteration", "event_id").agg(F.array_join(F.array_sort(F.collect_list("peer_id")), "").alias("pair"))
+    for event, others in (("a", 8), ("b", 8), ("c", 9)):
+        counts = [r["count"] for r in held.where(F.col("event_id") == event).groupBy("pair").count().collect()]
+        cells = others * (others - 1) // 2
+        expected = rounds / cells
+        assert len(counts) == cells and sum((x - expected) ** 2 / expected for x in counts) < cells + 4 * (2 * cells) ** 0.5
+    both = held.groupBy("iteration").pivot("event_id", ["a", "b"]).agg(F.first("pair"))
+    same = both.where("a = b").count()  # 21 of 28 pairs of each are open to the other: one in 37
+    assert 0.5 < same / (rounds * 21 / 28 / 28) < 1.5
+
+
+def test_random_peers_permute_unequal_weights(spark):
+    pool = spark.createDataFrame([(day(0), f"F{i}") for i in range(40)], "date date, security_id string")
+    events = spark.createDataFrame([("a", day(0), "F0", ECONOMIC)], "event_id string, date date, security_id string, peer_definition string")
+    sizes = spark.createDataFrame([("a", 3, None, [0.6, 0.3, 0.1])], "event_id string, portfolio_size long, weight double, weights array<double>")
+    edges = rs.random_peer_edges(events, sizes, pool, 200, 5)
+    assert rs.random_peer_rules(edges, sizes, pool).count() == 0
+    assert edges.where("weight = 0.6").select("peer_id").distinct().count() > 30
+    swapped = edges.withColumn("weight", F.when(F.col("weight") == 0.6, 0.5).when(F.col("weight") == 0.3, 0.4).otherwise(F.col("weight")))
+    assert {(r.code, r.violations) for r in rs.random_peer_rules(swapped, sizes, pool).collect()} == {("weight_rule_changed", 200)}
+
+
 def test_pseudo_dates_match_and_keep_away(spark):
     rows = [(day(t), "F", t != 30, "s", "g", "high" if t % 2 else "normal", "up", "low") for t in range(60)]
     matching = spark.createDataFrame(rows, "date date, security_id string, eligible boolean, subsector string, peer_group string, volatility_regime string, market_regime string, liquidity_bucket string")
