@@ -6,8 +6,11 @@ executor and in SQL. No iteration loop runs on the driver.
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contracts import issue_rows
 from ..functions.checkpoints import staged
@@ -92,6 +95,22 @@ def random_peer_placebo(events: DataFrame, edges: DataFrame, frame: DataFrame, p
 # --- Pseudo-events ----------------------------------------------------------------------------
 
 
+def with_running_median(rows: DataFrame, value: str, name: str, minimum: int) -> DataFrame:
+    """``rows`` with the median of the firm's earlier values, once there are ``minimum`` of them; nulls don't count.
+
+    One pass keeps a firm's earlier values sorted (a skip list), where a window would sort
+    all of them anew for each row. A group is one firm, so at most one calendar of rows.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("date")
+        earlier = pd.Series(group.column(value).to_numpy()).expanding(minimum).median().shift(1)
+        return group.append_column(name, pa.array(earlier, pa.float64(), from_pandas=True))
+
+    return rows.groupBy("security_id").applyInArrow(run, schema)
+
+
 def matching_panel(panel: DataFrame, factor: DataFrame) -> DataFrame:
     """Strata known before the date: own volatility regime, liquidity bucket, sector direction."""
     own = lambda n: trailing(["security_id"], "date", n)
@@ -100,8 +119,7 @@ def matching_panel(panel: DataFrame, factor: DataFrame) -> DataFrame:
         "date", "security_id", "eligible", "subsector", "peer_group", gated(F.stddev_samp("return"), F.col("return"), own(21), 15).alias("__vol"),
         F.when(F.count(dollar).over(own(20)) >= 10, F.percentile(dollar, F.lit(0.5)).over(own(20))).alias("__liq"),
         F.lag("date").over(Window.partitionBy("security_id").orderBy("date")).alias("matching_information_max_date"))
-    before = Window.partitionBy("security_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__typical", F.when(F.count("__vol").over(before) >= 20, F.percentile("__vol", F.lit(0.5)).over(before)))
+    rows = with_running_median(rows, "__vol", "__typical", 20)
     depth = percentiles(rows, ["date"], "__liq", {"__middle": 0.5})
     x = F.col("semiconductor_return")
     drift = gated(F.sum(x), x, date_frame(21), 15)

@@ -84,6 +84,18 @@ def test_random_peers_permute_unequal_weights(spark):
     assert {(r.code, r.violations) for r in rs.random_peer_rules(swapped, sizes, pool).collect()} == {("weight_rule_changed", 200)}
 
 
+def test_running_median_equals_the_window_over_all_earlier_rows(spark):
+    rng = random.Random(4)
+    rows = [(f"F{i}", day(t), None if rng.random() < 0.2 else rng.choice([rng.gauss(0, 1), 0.5])) for i in range(3) for t in range(60)]
+    made = spark.createDataFrame([*rows, ("empty", day(0), None)], "security_id string, date date, v double").repartition(5)
+    found = {(r.security_id, r.date): r.m for r in rs.with_running_median(made, "v", "m", 5).collect()}
+    assert len(found) == 181 and found["empty", day(0)] is None
+    for firm, date, _ in rows:
+        earlier = sorted(v for f, d, v in rows if f == firm and d < date and v is not None)
+        middle = (earlier[(len(earlier) - 1) // 2] + earlier[len(earlier) // 2]) / 2 if len(earlier) >= 5 else None
+        assert found[firm, date] == pytest.approx(middle)
+
+
 def test_pseudo_dates_match_and_keep_away(spark):
     rows = [(day(t), "F", t != 30, "s", "g", "high" if t % 2 else "normal", "up", "low") for t in range(60)]
     matching = spark.createDataFrame(rows, "date date, security_id string, eligible boolean, subsector string, peer_group string, volatility_regime string, market_regime string, liquidity_bucket string")
