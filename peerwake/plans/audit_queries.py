@@ -307,9 +307,7 @@ CHECKS = ("no_self_peers", "point_in_time_eligible_peer_endpoints", "event_dates
           "peer_quality_information", "matching_information")
 
 
-@query("leakage_checks", f"""
-SELECT unnest([{', '.join(f"'{c}'" for c in CHECKS)}]) AS check_name, 0::BIGINT AS violations, (SELECT count(*) FROM ct_events) > 0 AS passed""")
-def _(ws):
+def _independent_volatility(ws):
     usable = F.when((F.col("peer_count") >= DETECTION.minimum_peer_count) & ~F.col("extreme_return_flag"), F.col("relative_abnormal_return"))
     past = Window.partitionBy("security_id", "peer_definition").orderBy("date").rowsBetween(-DETECTION.volatility_window, -1)
     # Independent route to the deviation: collected values and a fold, not the detector's aggregate.
@@ -318,8 +316,14 @@ def _(ws):
     mean = F.aggregate("h", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("h"), F.lit(0))
     kept = kept.withColumn("m", mean)
     ss = F.aggregate("h", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m")))
-    independent = kept.select("date", "security_id", "peer_definition",
+    return kept.select("date", "security_id", "peer_definition",
                               F.when(F.size("h") >= DETECTION.minimum_history_requirement, F.sqrt(ss / F.nullif(F.size("h") - 1, F.lit(0)))).alias("independent_volatility"))
+
+
+@query("leakage_checks", f"""
+SELECT unnest([{', '.join(f"'{c}'" for c in CHECKS)}]) AS check_name, 0::BIGINT AS violations, (SELECT count(*) FROM ct_events) > 0 AS passed""")
+def _(ws):
+    independent = _independent_volatility(ws)
     base = au.baseline_checks(ws.events, ws.outcomes, ws.portfolios, ws.membership, independent, BASE_UNIVERSE.eligibility_start_date, BASE_UNIVERSE.eligibility_end_date)
     from ..operators import similarity as sm
     audit = sm.correlation_audit(ws.similarity_inputs[0], ws.calendar, ws.correlation_edges)
@@ -331,6 +335,27 @@ def _(ws):
         au.strictly_before(ws.matching, "matching_information_max_date", "date", "matching_information")])
 
 
+# The same checks on inputs damaged on purpose, so that each of these counts something.
+@query("leakage_checks_damaged", """
+WITH held AS (SELECT DISTINCT date, security_id FROM ct_pairs), valid AS (SELECT * FROM ct_outcomes WHERE valid AND horizon = 1),
+found AS (SELECT 'no_self_peers' AS check_name, count(*) FILTER (day(date) <= 9) AS violations FROM held
+  UNION ALL SELECT 'point_in_time_eligible_peer_endpoints', count(*) FILTER (day(date) >= 20) FROM held
+  UNION ALL SELECT 'event_dates_within_frozen_sample', count(*) FILTER (sgn > 0) FROM ct_events
+  UNION ALL SELECT 'sign_normalization_valid', count(*) FROM valid
+  UNION ALL SELECT 'convergence_identity_valid', count(*) FROM valid
+  UNION ALL SELECT 'strictly_trailing_event_volatility', count(*) FILTER (sgn > 0) FROM ct_events
+  UNION ALL SELECT 'matching_information', count(*) FILTER (eligible) FROM ct_strata)
+SELECT check_name, violations, violations = 0 AS passed FROM found""")
+def _(ws):
+    late = ws.events.withColumn("date", F.when(F.col("direction") == "positive", F.add_months("date", 1200)).otherwise(F.col("date")))
+    moved = ws.outcomes.withColumn("convergence", F.col("convergence") + F.when(F.col("horizon") == 1, 1.0).otherwise(0.0))
+    lonely = ws.portfolios.withColumn("portfolio_size", F.when(F.dayofmonth("date") <= 9, F.lit(0)).otherwise(F.col("portfolio_size")))
+    fewer = ws.membership.withColumn("eligible", F.col("eligible") & (F.dayofmonth("date") < 20))
+    known = ws.matching.withColumn("matching_information_max_date", F.when(F.col("eligible"), F.col("date")).otherwise(F.col("matching_information_max_date")))
+    base = au.baseline_checks(late, moved, lonely, fewer, _independent_volatility(ws), BASE_UNIVERSE.eligibility_start_date, BASE_UNIVERSE.eligibility_end_date)
+    return base.unionByName(au.strictly_before(known, "matching_information_max_date", "date", "matching_information"))
+
+
 # --- I. Sample and result tables -------------------------------------------------------------
 
 cte("ct_sample", """

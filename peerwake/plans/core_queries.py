@@ -274,6 +274,17 @@ def _(ws):
     return ws.relative
 
 
+# The market of the test tables: the mean of all securities, eligible or not, on dates on which ten or more were seen.
+@query("relative_returns_market", f"""
+WITH market AS (SELECT date, avg(ret) AS m FROM ct_panel GROUP BY date HAVING count(ret) >= 10)
+SELECT x.date, security_id, 'economic_subsector_peers' AS peer_definition, {r('own_ret')} AS stock_return, {r('peer_ret')} AS peer_return,
+       {r('own_ret - peer_ret')} AS relative_return, {r('own_ret - m')} AS market_adjusted_return, {r('own_adj')} AS semiconductor_adjusted_return
+FROM ct_relative x LEFT JOIN market USING (date)""")
+def _(ws):
+    market = ws.panel.groupBy("date").agg(F.avg("return").alias("market_return"), F.count("return").alias("n")).where("n >= 10")
+    return pr.relative_returns(ws.adjusted, market.drop("n"))
+
+
 @query("trailing_factor_residuals", f"""
 WITH full_rows AS (SELECT date, security_id, ret, factor FROM ct_adjusted WHERE ret IS NOT NULL AND factor IS NOT NULL),
 fits AS (SELECT *, count(*) OVER w AS n, min(date) OVER w AS first_date, max(date) OVER w AS last_date,

@@ -118,3 +118,16 @@ def test_reports_on_a_small_study(spark):
         for c in st.OUTCOME_COLUMNS))
     got = {(r.horizon, r.direction): r.mean_convergence for r in rp.descriptive_summary(outcomes).collect()}
     assert got[(1, "all")] == pytest.approx(0.0) and got[(1, "positive")] == pytest.approx(0.04)
+
+
+def test_market_adjusted_returns_need_a_market_row_of_the_date(spark):
+    from peerwake.operators import peers as pr
+    rows = [(day(t), f"F{i}", 0.01 * (i + t), 0.02 * i, True, "s", "g") for t in range(2) for i in range(3)]
+    panel = spark.createDataFrame(rows, "date date, security_id string, return double, semiconductor_adjusted_return double, eligible boolean, subsector string, peer_group string")
+    market = spark.createDataFrame([(day(1), 0.005), (day(9), 1.0)], "date date, market_return double")
+    found = {(r.date, r.security_id): r for r in pr.relative_returns(panel, market).collect()}
+    assert len(found) == 6
+    for (date, firm), r in found.items():
+        own = 0.01 * (int(firm[1:]) + (date == day(1)))
+        assert r.market_adjusted_return == (pytest.approx(own - 0.005) if date == day(1) else None)
+    assert all(r.market_adjusted_return is None for r in pr.relative_returns(panel).collect())
