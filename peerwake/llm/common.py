@@ -48,6 +48,18 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(text, doc): all other columns in one struct with names of its own, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    return docs.select("text", F.struct(F.lit(0).alias("c"), *rest).alias("doc"))
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` from a frame that ``packed`` made of it; ``changed`` ones in place of the old."""
+    held = {c: F.col("doc").getField(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"} | {"text": F.col("text")} | changed
+    return [held[c].alias(c) for c in docs.columns]
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, since texts may be long."""
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf

@@ -70,6 +70,17 @@ def _bands(words: Column) -> Column:
     return let(_hashes(words), keys)
 
 
+def _own_start(wide: Column, template: Column) -> Column:
+    """The first place in ``wide`` from which as many words as the template has hold most of its shingles."""
+    in_order = F.transform(F.sequence(F.lit(0), F.size(wide) - SHINGLE), lambda i: F.xxhash64(*[F.get(wide, i + k) for k in range(SHINGLE)]))
+    each = F.struct(in_order.alias("seen"), _hashes(template).alias("own"), F.size(template).alias("n"), F.greatest(F.size(wide) - F.size(template), F.lit(0)).alias("last"))
+
+    def best(x: Column) -> Column:
+        held = lambda at: F.size(F.array_intersect(F.slice(x["seen"], at + 1, x["n"] - SHINGLE + 1), x["own"]))
+        return -F.array_max(F.transform(F.sequence(F.lit(0), x["last"]), lambda at: F.struct(held(at).alias("held"), (-at).alias("at"))))["at"]
+    return let(each, best)
+
+
 def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, license, containment, first_word): the best containment of each licence and the word it starts at."""
     known = staged(templates.select("license", "words"), "licences")
@@ -90,11 +101,14 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
               .withColumn("start", F.col("k") * F.col("step")).where("start <= at"))
     edge = F.greatest(F.col("start") - F.col("step"), F.lit(0))
     cut = starts.select("doc_id", "text_id", "length", "start", F.slice("near", F.col("start") - F.col("low") + 1, F.col("length")).alias("window"),
-                        F.slice("near", F.greatest(edge, F.col("low")) - F.col("low") + 1, F.col("length") + 2 * F.col("step")).alias("wide"))
-    windows = cut.groupBy("doc_id", "text_id", "length", "start").agg(F.max(F.struct("window", "wide")).alias("w")).where(F.size("w.window") >= SHINGLE)
+                        F.slice("near", F.greatest(edge, F.col("low")) - F.col("low") + 1, F.col("length") + 2 * F.col("step")).alias("wide"),
+                        F.greatest(edge, F.col("low")).alias("wide_at"))
+    windows = cut.groupBy("doc_id", "text_id", "length", "start").agg(F.max(F.struct("window", "wide", "wide_at")).alias("w")).where(F.size("w.window") >= SHINGLE)
     banded = windows.select("*", F.explode(_bands(F.col("w.window"))).alias("band"))
     shelf = known.select("license", F.explode(_bands(F.col("words"))).alias("band"), F.col("words").alias("template")).distinct()
-    met = banded.join(bounded(shelf, BROADCAST), "band").select("doc_id", "text_id", "start", "license", F.col("w.wide").alias("wide"), "template").distinct()
+    met = banded.join(bounded(shelf, BROADCAST), "band").select("doc_id", "text_id", "start", "license", F.col("w.wide").alias("wide"), F.col("w.wide_at").alias("wide_at"), "template").distinct()
     share = F.size(F.array_intersect(_shingles(F.col("template")), _shingles(F.col("wide")))) / F.size(_shingles(F.col("template")))
     sure = met.withColumn("containment", share).where(F.col("containment") >= CONTAINED)
-    return sure.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("first_word"))
+    one = F.max_by(F.struct("wide", "wide_at", "template", "containment"), F.struct("containment", -F.col("start")))
+    best = sure.groupBy("doc_id", "license").agg(one.alias("b"))
+    return best.select("doc_id", "license", "b.containment", (F.col("b.wide_at") + _own_start(F.col("b.wide"), F.col("b.template"))).cast("int").alias("first_word"))

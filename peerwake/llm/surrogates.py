@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates that keep type, script, gender and format.
 
 Detected: e-mail addresses, telephone, card and social-security numbers, IPv4 addresses, IBANs,
-named secrets, long hexadecimal tokens, and names after a title. An entity is its type and its
+named secrets, long hexadecimal tokens, names after a title and their other mentions in the text. An entity is its type and its
 canonical value (lower case, or digits only), so different spellings of one number or address
 share one surrogate. The surrogate is drawn by HMAC-SHA256 from a key, the type and the value:
 digits become digits, letters letters of their case, card numbers keep their first digit and a
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checkpoints import staged
-from .common import arrow_map, small_batches
+from .common import arrow_map, packed, small_batches, unpacked
 
 KEY = b"surrogate-key-of-the-test-tables"
 #: Rounds of draws after which free text grows by a character or syllable, and rounds after which ``assign`` gives up.
@@ -54,6 +54,8 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<hex>\b(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)\b)"
     rf"|\b(?P<title>{_TITLE})\b\.? (?P<name>{_CAPITAL}{_REST}+(?: {_CAPITAL}{_REST}+){{0,2}}\b)")
+#: One, two or three capitalised words, from any of them; the groups end behind each.
+MENTION = re.compile(rf"(?<![\w'’-])(?=({_CAPITAL}{_REST}+(?![\w'’-]))(?:( {_CAPITAL}{_REST}+(?![\w'’-]))( {_CAPITAL}{_REST}+(?![\w'’-]))?)?)")
 KINDS = ("email", "secret", "iban", "card", "ssn", "ip", "phone", "hex", "name")
 #: Syllables of invented names, by script: onsets, vowels, and endings by gender (fixed values).
 SCRIPTS = {"latin": ("b d f g k l m n p r s t v".split(), "a e i o u".split(), {"m": "on", "f": "ia", "": "en"}),
@@ -71,13 +73,37 @@ def canonical(kind: str, value: str) -> str:
 
 
 def find(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, type, canonical value, gender) of each entity, in order."""
-    out = []
+    """(start, end, type, canonical value, gender) of each entity, in order.
+
+    A name that stands behind a title somewhere in the text is found at its other places too.
+    """
+    out, names = [], {}
     for m in PATTERN.finditer(text):
         kind = next(k for k in KINDS if m.group(k) is not None)
         value, gender = m.group(kind), TITLES[m["title"]] if kind == "name" else ""
+        if kind == "name":
+            names.setdefault(value, gender)
         out.append((*m.span(kind), kind, canonical(kind, value), gender))
-    return out
+    return _with_later_mentions(text, out, names) if names else out
+
+
+def _with_later_mentions(text: str, found: list[tuple], names: dict[str, str]) -> list[tuple]:
+    """``found`` and the places of ``names`` (with their genders) outside of it: one walk over the text's capitalised words."""
+    more, at, end = [], 0, 0
+    for m in MENTION.finditer(text):
+        while at < len(found) and found[at][1] <= m.start():
+            at += 1
+        if m.start() < end:
+            continue
+        stops = {m.end(k) for k in (1, 2, 3) if m.group(k)}
+        stops |= {x - 2 for x in stops if text[x - 2:x] in ("'s", "’s")}
+        for stop in sorted(stops, reverse=True):
+            value = text[m.start():stop]
+            if value in names and (at == len(found) or found[at][0] >= stop):
+                more.append((m.start(), stop, "name", canonical("name", value), names[value]))
+                end = stop
+                break
+    return sorted([*found, *more])
 
 
 class _Draw:
@@ -201,10 +227,14 @@ def assign(entities: DataFrame, key: bytes = KEY, draw=_drawn) -> DataFrame:
             raise RuntimeError(f"no free surrogates after {ROUNDS} rounds: {open_.select('kind').distinct().limit(9).collect()}")
 
 
-def _replaced(found: DataFrame, names: list[str], schema: T.StructType) -> DataFrame:
+def _replaced(found: DataFrame) -> DataFrame:
+    """(text, doc, n): ``found`` (text, doc, given) with surrogates in the text and their number."""
+    doc = found.schema["doc"]
+    schema = T.StructType([T.StructField("text", T.StringType()), doc, T.StructField("n", T.LongType(), False)])
+
     def run(batches):
         for batch in small_batches(batches):
-            columns, out, counts = {c: batch.column(c) for c in names}, [], []
+            out, counts = [], []
             for text, given in zip(batch.column("text").to_pylist(), batch.column("given").to_pylist(), strict=True):
                 table = {(g["kind"], g["value"]): g["surrogate"] for g in given or []}
                 end, parts, entities = 0, [], find(text)
@@ -213,25 +243,28 @@ def _replaced(found: DataFrame, names: list[str], schema: T.StructType) -> DataF
                     end = stop
                 out.append("".join([*parts, text[end:]]))
                 counts.append(len(entities))
-            columns["text"] = pa.array(out, pa.string())
-            columns["n_entities"] = pa.array(counts, pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("doc"), pa.array(counts, pa.int64())], names=["text", "doc", "n"])
+
+    return arrow_map(found.select("text", "doc", "given"), run, schema)
 
-    return arrow_map(found.select(*names, "given"), run, schema)
 
+def pseudonymize(docs: DataFrame, key: bytes = KEY, counted: str | None = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in ``text``, and the number of replacements in it as ``counted`` (None: no such column).
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and ``n_entities``, the number of replacements in it."""
-    docs = docs.drop("n_entities", "given", "text_key")
-    names = docs.columns
+    Of the input's columns one named ``counted`` is replaced, and ``n_chars`` follows a changed text; all others stay as they are.
+    """
+    if counted is not None and counted in docs.columns:
+        docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != counted])
+    own = packed(docs)
     has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    held = docs.where(has).withColumn("text_key", F.md5("text"))
+    held = own.where(has).withColumn("text_key", F.md5("text"))
     found = staged(_entities(held.select("text_key", "text")), "entities")
     table = assign(staged(found.groupBy("kind", "value").agg(F.max("gender").alias("gender")), "distinct-entities"), key)
     given = (found.select("text_key", "kind", "value").distinct().join(table, ["kind", "value"])
              .groupBy("text_key").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("given")))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType(), False)])
-    changed = _replaced(held.join(given, "text_key", "left"), names, schema)
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.unionByName(docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
+    whole = _replaced(held.join(given, "text_key", "left")).unionByName(own.where(~has).withColumn("n", F.lit(0).cast("long")))
+    changed = {}
+    if "n_chars" in docs.columns:
+        was = F.col("doc").getField(f"c{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(F.col("n") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(was)
+    return whole.select(*unpacked(docs, **changed), *([] if counted is None else [F.col("n").alias(counted)]))
