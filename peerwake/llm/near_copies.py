@@ -171,8 +171,11 @@ def _by_rare_shingles(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return _pairs(mixed.where("component <> largest"), mixed, "shingle")
 
 
-def groups(docs: DataFrame, hubs: int = HUBS) -> DataFrame:
-    """(node, component) of every text with a near copy. A node is ``node_of`` a text. Any number of rounds with hubs gives the same groups or larger ones."""
+def groups(docs: DataFrame, hubs: int = HUBS, pairs: DataFrame | None = None) -> DataFrame:
+    """(node, component) of every text with a near copy. A node is ``node_of`` a text. Any number of rounds with hubs gives the same groups or larger ones.
+
+    ``pairs``: nodes (a, b) that met before by other means; those that are near copies are grouped before the first round.
+    """
     texts = docs.select(node_of(F.col("text")).alias("node"), "text")
     one = [F.first(c).alias(c) for c in ("n", "keys", "s", "t")]
     signed = staged(_signed(texts).groupBy("node").agg(*one), "signatures")
@@ -181,7 +184,7 @@ def groups(docs: DataFrame, hubs: int = HUBS) -> DataFrame:
     shared = keyed.join(common, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
     met = staged(signed.drop("keys").join(shared, "node"), "met")
     sets = staged(_sets(texts.join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))), "sets")
-    found = None
+    found = None if pairs is None else _merged(None, staged(_verified(pairs, sets), "verified"))
     for turn in range(hubs + 1):
         placed = staged(_placed(met, found), "placed")
         rows = placed.select("*", F.explode("keys").alias("key")).drop("keys")

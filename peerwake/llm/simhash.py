@@ -151,9 +151,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def met_texts(docs: DataFrame) -> DataFrame:
+    """(a, b): texts, by ``near_copies.node_of``, whose fingerprints are equal or linked; a fingerprint's texts meet its least."""
+    texts = docs.select(near_copies.node_of(F.col("text")).alias("doc_id"), "text").groupBy("doc_id").agg(F.first("text").alias("text"))
+    marked = staged(fingerprints(texts), "text-fingerprints")
+    least = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
+    same = marked.join(least, "fp").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    linked = links(least.select("fp")).toDF("x", "y").join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y")
+    return same.unionAll(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without later near copies (``near_copies``): of each group one row stays, of the least doc_id.
+    """Documents without later near copies: of each group one row stays, of the least doc_id.
 
+    Texts meet by their fingerprints, and the exact similarity of ``near_copies`` is checked; what is
+    over 2 bits apart and still a near copy is found there.
     Rows without doc_id come last in their group and stay if it has no other. Of groups that
     would each keep a row of one doc_id, one keeps it.
     """
@@ -161,7 +173,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own = docs.select(near_copies.node_of(F.col("text")).alias("__node"), "doc_id", F.xxhash64(*map(_hashable, docs.schema)).alias("__row"), F.struct(*whole).alias("__doc"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__node", "__row"))
     nodes = staged(own.groupBy(F.col("__node").alias("node")).agg(first.alias("first")), "texts")
-    grouped = nodes.join(near_copies.groups(docs), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.*")
+    grouped = nodes.join(near_copies.groups(docs, pairs=met_texts(docs)), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.*")
     order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__node"))).orderBy("__row")
     kept = staged(grouped.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("__node", "__row"), "survivors")
     # Repeated rows are reduced to one before they are shuffled.
