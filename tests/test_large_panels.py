@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day
-from peerwake.functions import draws
+from peerwake.functions import checkpoints, draws
 from peerwake.operators import inference as inf
 from peerwake.operators import similarity as sm
 from peerwake.operators import study as st
@@ -89,3 +89,13 @@ def test_resamples_travel_as_blocks_of_draws_and_equal_a_fold_over_them(spark, m
             x = [v for d in drawn for c, f, v in rows if c == k and f == d]
             want[k, t] = (pytest.approx(sum(x) / len(x)), len(x))
     assert {(r.k, r.iteration): (r.statistic, r.sample_size) for r in got.collect()} == want
+
+
+def test_stage_tables_that_compress_well_are_not_sent_to_all_tasks(spark):
+    rows = spark.range(checkpoints.SENT_ROWS).select("id", F.lit("a long text that compresses well" * 8).alias("text"))
+    large, small = checkpoints.staged(rows, "large"), checkpoints.staged(rows.limit(10), "small")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    wide = spark.range(1 << 24).withColumnRenamed("id", "key")
+    assert "Broadcast" not in plan(wide.join(large.select("id", "text"), F.col("key") == F.col("id"), "left"))
+    assert "Broadcast" in plan(wide.join(small, F.col("key") == F.col("id"), "left"))
+    assert "BroadcastHashJoin" in plan(wide.join(F.broadcast(large), F.col("key") == F.col("id"), "left"))
