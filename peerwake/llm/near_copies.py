@@ -12,7 +12,8 @@ each. A sketch of two bits of 64 minima goes with each text and stops most unlik
 set of shingles moves (it stops a pair at 0.8 with a chance under one in a million). What a key still holds apart
 after the rounds meets by rare shingles instead of in all pairs: of two sets at 0.8 or more, the first fifths in any
 one order share a shingle, so each text sends its rarest fifth, and shingles of a single text or group bring
-no pair. The groups are thus at least those of all pairs that share a key.
+no pair. Texts just below 0.8 share such shingles in great number, so a pair leaves the join only if no bound speaks
+against it (``_may_reach``); the bounds are exact and lose no link. The groups are thus at least those of all pairs that share a key.
 
 Defined results: words are parted by ASCII blanks and lower-cased in ASCII. A text under five words is one shingle.
 Null, empty and blank texts are copies of each other.
@@ -33,6 +34,7 @@ from .common import arrow_map, small_batches
 from .components import components
 
 WORDS, BANDS, ROWS, HUBS, APART, VOCABULARY = 5, 20, 4, 3, 26, 1 << 17
+MAP = 1024  # bits of the map of a text's shingles
 _ODD = np.random.PCG64(42).random_raw(BANDS * ROWS + WORDS + 1) | np.uint64(1)
 _WORD, _PERMUTE, _FINAL = _ODD[:WORDS], _ODD[WORDS:-1, None], _ODD[-1]
 
@@ -73,6 +75,13 @@ def signature(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([np.bitwise_or.reduce(b) for b in bits]).view(np.int64)
 
 
+def shingle_map(shingle: np.ndarray) -> np.ndarray:
+    """``MAP`` bits as words; a shingle sets the bit of its last places."""
+    words, place = np.zeros(MAP // 64, np.uint64), shingle & np.uint64(MAP - 1)
+    np.bitwise_or.at(words, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return words
+
+
 def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -98,14 +107,14 @@ def _signed(texts: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of each text."""
+    """(node, shingles, map) of each text."""
     def run(batches):
         hashes = _Hashes()
         for batch in small_batches(batches):
             sets = [shingles(t or "", hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets), _lists([shingle_map(x) for x in sets])], names=["node", "shingles", "map"])
 
-    return arrow_map(texts, run, "node binary, shingles array<long>")
+    return arrow_map(texts, run, "node binary, shingles array<long>, map array<long>")
 
 
 def _like(x: Column, y: Column, both: Column) -> Column:
@@ -126,7 +135,7 @@ def _pairs(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    both = F.size(F.array_intersect("a_set", "b_set"))
+    both, sets = F.size(F.array_intersect("a_set", "b_set")), sets.select("node", "shingles")
     held = pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b").select("a", "b", F.size("a_set").alias("x"), F.size("b_set").alias("y"), both.alias("both"))
     return held.where(_like(F.col("x"), F.col("y"), F.col("both"))).select("a", "b")
 
@@ -158,17 +167,33 @@ def _without(met: DataFrame, hubs: DataFrame) -> DataFrame:
     return met.join(done, "node", "left").withColumn("keys", left).drop("done")
 
 
+def _may_reach() -> Column:
+    """Whether rows x and y, met at a shingle, can have 0.8 of all shingles in common, ``need`` of them.
+
+    None but shingles of several groups (``mixed`` of them) are common to both. In one order of all shingles the first common one has
+    ``need`` - 1 behind it in both (``at``). A bit of one map that the other lacks is a shingle that the other lacks.
+    """
+    need = F.expr("(4 * (x.n + y.n) + 8) div 9")
+    lacks = lambda p, q: F.aggregate(F.zip_with(f"{p}.map", f"{q}.map", lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda n, k: n + k)
+    near = (F.least("x.mixed", "y.mixed") >= need) & (F.col("x.at") <= F.col("x.n") - need) & (F.col("y.at") <= F.col("y.n") - need)
+    return _may_link() & near & (F.col("x.n") - lacks("x", "y") >= need) & (F.col("y.n") - lacks("y", "x") >= need)
+
+
 def _by_rare_shingles(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of ``open_`` (node, n, s, t, component) that share one of the rarest fifth of both sets' shingles."""
+    """Pairs of ``open_`` (node, n, s, t, component) that share one of the rarest fifth of both sets' shingles and may be linked."""
     tokens = sets.join(open_.select("node", "component"), "node").select("node", "component", F.explode("shingles").alias("shingle"))
     counts = tokens.groupBy("shingle").agg(F.count("*").alias("c"), (F.min("component") != F.max("component")).alias("mixed"))
     ranked = tokens.join(counts, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "shingle", "mixed"))).alias("all"))
     fifth = F.expr("slice(all, 1, cast(size(all) - (4 * size(all) + 4) div 5 + 1 as int))")
-    sent = ranked.select("node", F.explode(F.filter(fifth, lambda e: e["mixed"])).alias("e")).select("node", F.col("e.shingle").alias("shingle"))
-    sent = staged(sent.join(open_, "node"), "rare")
+    sent = ranked.select("node", F.size(F.filter("all", lambda e: e["mixed"])).alias("mixed"), F.posexplode(fifth).alias("at", "e")).where("e.mixed")
+    sent = sent.select("node", "mixed", "at", F.col("e.shingle").alias("shingle"))
+    sent = staged(sent.join(open_.join(sets.select("node", "map"), "node"), "node"), "rare")
     held = sent.groupBy("shingle", "component").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("kinds"))
     mixed = sent.join(held.where("kinds > 1").select("shingle", F.col("top.component").alias("largest")), "shingle")
-    return _pairs(mixed.where("component <> largest"), mixed, "shingle")
+    x, y = mixed.where("component <> largest").alias("x"), mixed.alias("y")
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & once & _may_reach())
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, hubs: int = HUBS, pairs: DataFrame | None = None) -> DataFrame:
