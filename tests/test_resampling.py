@@ -172,3 +172,26 @@ def test_empirical_p_value_counts_ties_as_half(spark):
                                  "horizon int, return_specification string, peer_definition string, outcome string, statistic double")
     got = rs.empirical_p_value(obs, null).where("outcome = 'convergence'").first()
     assert got.empirical_p_value == pytest.approx(3 / 4) and got.percentile_location == pytest.approx(50.0)
+
+
+def test_null_detection_input_looks_draws_up_without_rows_for_each_iteration(spark):
+    """The detector's input comes from arrays by iteration, not from the table of simulated rows, and equals what that table gives."""
+    from peerwake.plans.workspace import Workspace
+    ws = Workspace(spark, "/root/testdata/sf0.001")
+    found = {(r.null_iteration, r.date, r.security_id): r for r in ws.null_input.collect()}
+    assert "simulated" not in vars(ws)
+    value = "semiconductor_adjusted_return"
+    rows = ws.simulated.join(ws.panel.where("eligible").select("date", "security_id", "peer_group"), ["date", "security_id"]).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.null_iteration, r.date, r.peer_group), {})[r.security_id] = r[value]
+    want = {}
+    for (k, date, group), held in groups.items():
+        for name, own in held.items():
+            others = [x for n, x in held.items() if n != name and x is not None]
+            if own is not None and others:
+                want[k, date, name] = (group, len(others), own - sum(others) / len(others))
+    assert want and set(found) == set(want)
+    for key, (group, n, move) in want.items():
+        r = found[key]
+        assert (r.peer_group, r.peer_count) == (group, n) and abs(r.relative_abnormal_return - move) < 1e-9
