@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day
+from peerwake.operators import diagnostics as dg
 from peerwake.operators import events as ev
 from peerwake.operators import reports as rp
 from peerwake.operators import study as st
@@ -131,3 +132,31 @@ def test_market_adjusted_returns_need_a_market_row_of_the_date(spark):
         own = 0.01 * (int(firm[1:]) + (date == day(1)))
         assert r.market_adjusted_return == (pytest.approx(own - 0.005) if date == day(1) else None)
     assert all(r.market_adjusted_return is None for r in pr.relative_returns(panel).collect())
+
+
+def test_an_event_meets_its_facts_as_one_row(spark):
+    ev_df = spark.createDataFrame([event("e", day(4), "I"), event("f", day(9), "A")], EVENT)
+    panel = st.event_panel(ev_df, frame_of(spark, base_values()), P, "spec")
+    held = spark.createDataFrame(panel.collect(), panel.schema)
+    out = st.event_outcomes(ev_df, held, P)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.index("Generate ") < plan.index("Join ")
+    rows = {(r.event_id, r.horizon): (r.valid_horizon, r.missing_reason) for r in out.collect()}
+    assert rows == {("e", 1): (True, None), ("e", 3): (True, None), ("f", 1): (False, rows[("f", 1)][1]), ("f", 3): (False, rows[("f", 3)][1])}
+    assert "end_of_sample" in rows[("f", 1)][1]
+
+
+def test_variants_of_one_flag_are_made_once(spark, monkeypatch):
+    seen = {}
+
+    def study(candidates, frame, *others):
+        seen["rows"] = frame.count()
+        return frame.groupBy("variant").agg(F.count("*").alias("n"), F.count("groups").alias("members"))
+
+    monkeypatch.setattr(dg, "detected_outcomes", study)
+    rows = [(day(t), s, "g", 0.01 * t, s != "C", True, "s", 1.0, False) for t in range(2) for s in "ABC"]
+    panel = spark.createDataFrame(rows, "date date, security_id string, peer_group string, return double, eligible boolean, wide boolean, "
+                                        "subsector string, volume double, extreme_return_flag boolean")
+    out = dg.universe_sweep(panel, None, None, "x", None, {"core": "eligible", "all": "wide", "again": "eligible"})
+    assert {r.variant: (r.n, r.members) for r in out.collect()} == {"core": (6, 4), "all": (6, 6), "again": (6, 4)}
+    assert seen["rows"] == 12
