@@ -11,11 +11,15 @@ from conftest import day
 from peerwake.functions import checkpoints, draws
 from peerwake.operators import events as ev
 from peerwake.operators import inference as inf
+from peerwake.operators import mechanism as me
 from peerwake.operators import resample as rs
 from peerwake.operators import similarity as sm
 from peerwake.operators import study as st
 from peerwake.operators.study import trading_calendar
-from peerwake.params import ECONOMIC, Study
+from peerwake.params import BROAD, CORRELATION, ECONOMIC, Study
+from peerwake.plans import catalogue  # noqa: F401
+from peerwake.plans import workspace as workspaces
+from peerwake.plans.registry import all_queries
 from peerwake.plans.workspace import RESAMPLING, Workspace
 
 
@@ -125,3 +129,14 @@ def test_random_peers_are_drawn_in_many_tasks(spark):
     edges = rs.random_peer_edges(events, sizes, pool, 5)
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert edges.count() == 15 and "REPARTITION_BY_NUM" in plan
+
+
+def test_paired_differences_ask_nothing_of_the_third_definition(spark, monkeypatch):
+    rows = [(f"e{i}", d, 1, ok, 0.1 * i * k, 0.0, 0.0) for i in range(4) for k, (d, ok) in enumerate([(CORRELATION, True), (ECONOMIC, i != 3), (BROAD, False)], 1)]
+    ws = Workspace(spark, "made", keep=False)
+    ws.definition_outcomes = spark.createDataFrame(rows, "event_id string, peer_definition string, horizon int, valid_horizon boolean, convergence double, "
+                                                   "peer_catchup double, initiator_reversal double")
+    monkeypatch.setitem(workspaces._OPEN, (spark.sparkContext.applicationId, "made"), ws)
+    found = {r.outcome: r for r in all_queries()["paired_difference"](spark, "made").collect()}
+    assert found["convergence"].sample_size == 3 and found["convergence"].mean == pytest.approx(0.1)
+    assert me.common_sample(ws.definition_outcomes).count() == 0
