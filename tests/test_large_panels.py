@@ -140,3 +140,24 @@ def test_paired_differences_ask_nothing_of_the_third_definition(spark, monkeypat
     found = {r.outcome: r for r in all_queries()["paired_difference"](spark, "made").collect()}
     assert found["convergence"].sample_size == 3 and found["convergence"].mean == pytest.approx(0.1)
     assert me.common_sample(ws.definition_outcomes).count() == 0
+
+
+def test_portfolios_are_summed_without_a_row_for_each_day(spark):
+    p = Study(primary_horizons=(1,), descriptive_horizons=(), pre_event_days=1, post_event_days=2)
+    rows = spark.createDataFrame([("e", 0.5, [1.0, None, 2.0, 3.0], 0), ("e", 0.5, [2.0, 1.0, None, 3.0], 0)], "event_id string, weight double, near array<double>, __part int")
+    sums = st._baskets(rows, ["event_id"], p, weighted=True)
+    r = sums.first()
+    assert (r["__sum"], r["__seen"], r["__members"], r["__w"]) == ([1.5, 0.5, 1.0, 3.0], [2, 1, 1, 2], 2, 1.0)
+    assert "Generate" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_are_cut_out_at_both_ends_of_a_series(spark):
+    p = Study(primary_horizons=(1,), descriptive_horizons=(), pre_event_days=2, post_event_days=3)
+    frame = spark.createDataFrame([(day(t), "F", None if t == 4 else float(t)) for t in (1, 2, 4, 7)] + [(day(t), "G", 0.0) for t in range(8)], "date date, security_id string, value double")
+    wanted = spark.createDataFrame([(day(t), "F") for t in range(8)], "date date, security_id string")
+    calendar = trading_calendar(frame)
+    found = {r.date: r.near for r in st._neighbours(wanted, frame, calendar, p, ()).collect()}
+    values = {1: 1.0, 2: 2.0, 7: 7.0}
+    assert found == {day(t): [values.get(t + d) for d in range(-2, 4)] for t in (1, 2, 4, 7)}
+    with pytest.raises(Exception, match="second row of one date"):
+        st._neighbours(wanted, frame.unionByName(frame), calendar, p, ()).collect()
