@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day
-from peerwake.functions import checkpoints, draws
+from peerwake.functions import checkpoints, draws, exprs
 from peerwake.operators import events as ev
 from peerwake.operators import inference as inf
 from peerwake.operators import mechanism as me
@@ -161,3 +161,23 @@ def test_windows_are_cut_out_at_both_ends_of_a_series(spark):
     assert found == {day(t): [values.get(t + d) for d in range(-2, 4)] for t in (1, 2, 4, 7)}
     with pytest.raises(Exception, match="second row of one date"):
         st._neighbours(wanted, frame.unionByName(frame), calendar, p, ()).collect()
+
+
+def test_places_are_those_of_the_feistel_network(spark):
+    def places(n, k, h):
+        half = max(-(-max(n - 1, 0).bit_length() // 2), 3)
+        size, out = 1 << half, []
+        for j in range(size * size):
+            left, right = divmod(j, size)
+            for r in range(4):
+                mixed = (right * int(h[15 * r:15 * r + 7], 16) + int(h[15 * r + 7:15 * r + 15], 16)) % ((1 << 31) - 1) >> 12
+                left, right = right, left ^ mixed % size
+            out.append(left * size + right)
+        return [x for x in out if x < n][:k]
+
+    cases = [(n, k) for n in (1, 2, 5, 16, 65, 257, 1024, 1025) for k in (0, 1, 4, n) if k <= n]
+    df = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(cases)] + [(len(cases), 5, None)], "id int, n long, k long")
+    got = df.select("id", exprs.digest(3, F.col("id")).alias("h"), exprs.shuffled_places(F.col("n"), F.col("k"), 3, F.col("id")).alias("p"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        assert r.p == (places(*cases[r.id], r.h) if r.id < len(cases) else None)
