@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,22 @@ def test_places_are_those_of_the_feistel_network(spark):
     assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
     for r in got.collect():
         assert r.p == (places(*cases[r.id], r.h) if r.id < len(cases) else None)
+
+
+def test_most_pairs_are_judged_by_their_bound(monkeypatch):
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(6000, 60))
+    b[40:80], b[81], b[82, 3] = b[39], 0.5, np.inf  # ties, a constant and an endless series
+    mb = (rng.random(b.shape) >= 0.03).astype(float)
+    mb[39:80] = 1.0
+    b = np.where(mb > 0, b, 0.0)
+    pick = np.r_[30:90, 200:240]
+    corr, n = sm.pairwise_correlation(b[pick], mb[pick], b, mb)
+    corr = np.where((n >= 30) & (pick[:, None] != np.arange(len(b))), corr, np.nan)
+    want = [(i, j) for i in range(len(pick)) for j in sorted(np.flatnonzero(~np.isnan(corr[i])), key=lambda j: (-round(corr[i, j], 10), j))[:10]]
+    computed = []
+    for name, size in (("pairwise_correlation", lambda a, b: len(a) * len(b)), ("_paired_correlation", lambda a, b: len(a))):
+        monkeypatch.setattr(sm, name, lambda a, ma, b, mb, f=getattr(sm, name), size=size: (computed.append(size(a, b)), f(a, ma, b, mb))[1])
+    i, j, _ = sm.best_correlations(b[pick], mb[pick], b, mb, lambda r, c: pick[r] != c, 30, 10)
+    assert [(x, int(y)) for x in range(len(pick)) for y in j[i == x]] == want
+    assert sum(computed) < 0.6 * len(pick) * len(b)
