@@ -201,3 +201,14 @@ def test_most_pairs_are_judged_by_their_bound(monkeypatch):
     i, j, _ = sm.best_correlations(b[pick], mb[pick], b, mb, lambda r, c: pick[r] != c, 30, 10)
     assert [(x, int(y)) for x in range(len(pick)) for y in j[i == x]] == want
     assert sum(computed) < 0.6 * len(pick) * len(b)
+
+
+def test_running_medians_are_made_once_for_all_steps(spark, monkeypatch):
+    stage, labels = rs.staged, []
+    monkeypatch.setattr(rs, "staged", lambda df, label: (labels.append(label), stage(df, label))[1])
+    panel = spark.createDataFrame([(day(t), f"F{i}", True, "s", "g", 0.01 * ((t * i) % 7), 5.0 + i, 10.0) for t in range(50) for i in range(3)],
+                                  "date date, security_id string, eligible boolean, subsector string, peer_group string, return double, adj_close double, volume double")
+    factor = spark.createDataFrame([(day(t), 0.01) for t in range(50)], "date date, semiconductor_return double")
+    found = rs.matching_panel(panel, factor)
+    assert labels == ["strata"] and "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 150 and found.where("volatility_regime = 'high'").count() > 0
